@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import warc
 from .bpe import op4_bpe
 from .quality_model import op10_quality_classifier
+from .quality_rules import op7_quality_rules
 from .rans import op9_rans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe, "op6_warc": warc.op6_warc, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
+    return {"op4_bpe": op4_bpe, "op6_warc": warc.op6_warc, "op7_quality_rules": op7_quality_rules, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
