@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import warc
 from .bpe import op4_bpe
 from .decontaminate import op3_decontamination
+from .jaccard_join import op5_jaccard_join
 from .quality_model import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .rans import op9_rans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op6_warc": warc.op6_warc, "op7_quality_rules": op7_quality_rules, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
+    return {"op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_warc": warc.op6_warc, "op7_quality_rules": op7_quality_rules, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE_SQL}
+    return {"op5_jaccard_join": op5_jaccard_join, "op6_warc": warc.ORACLE_SQL}
