@@ -13,10 +13,11 @@ from .jaccard_join import op5_jaccard_join
 from .quality_model import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .rans import op9_rans
+from .substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_warc": warc.op6_warc, "op7_quality_rules": op7_quality_rules, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_substring_dedup": op1_substring_dedup, "op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_warc": warc.op6_warc, "op7_quality_rules": op7_quality_rules, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
