@@ -215,9 +215,17 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", by
     return encoded.select(*kept).mapInArrow(run, schema)
 
 
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    both = decode(encode(docs, path, pattern), path, pattern)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, common.read(spark, sf_dir, "documents"), sf_dir)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs, path, pattern), path, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

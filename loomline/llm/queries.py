@@ -10,6 +10,7 @@ from . import warc
 from .bpe import op4_bpe
 from .decontaminate import op3_decontamination
 from .jaccard_join import op5_jaccard_join
+from .line_dedup import op2_line_dedup
 from .pii import op8_pii
 from .quality_model import op10_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -18,7 +19,7 @@ from .substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_warc": warc.op6_warc, "op7_quality_rules": op7_quality_rules, "op8_pii": op8_pii, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join, "op6_warc": warc.op6_warc, "op7_quality_rules": op7_quality_rules, "op8_pii": op8_pii, "op9_rans": op9_rans, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
