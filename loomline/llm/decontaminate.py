@@ -242,13 +242,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small = _bench(bench, "item_id", "text")
     if small is None:
         return docs.join(contaminated(docs, bench).select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    shared = spark.sparkContext.broadcast(small)
+    shared, columns = spark.sparkContext.broadcast(small), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in common.slices(batches, "_text", 2 << 20):
             found = known.pairs(batch.column("_text").to_pylist())
             clean = [k for k in range(batch.num_rows) if not any(m >= COVERAGE * n for _, n, m in found.get(k, ()))]
-            yield batch.select(docs.columns).take(pa.array(clean, pa.int64()))
+            yield batch.select(columns).take(pa.array(clean, pa.int64()))
 
     return docs.select(*docs.columns, common.text_column(docs, "text").alias("_text")).mapInArrow(run, T.StructType(docs.schema.fields))
