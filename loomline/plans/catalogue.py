@@ -1,42 +1,14 @@
-"""Registered queries over the fixture tables: name -> (Spark plan, equivalent SQL or None)."""
+"""All registered queries over the fixture tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(query: Query) -> Query:
-        _QUERIES[name] = query
-        if sql is not None:
-            _SQL[name] = sql
-        return query
-
-    return keep
+from . import linkage, monitoring, pages, records, urls  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-@registered(
-    "url_domain_top5",
-    r"""SELECT regexp_replace(regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?([^/?#]*)', 1), ':(80|443)$', ''), '^www\.', '') AS domain,
-       count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, min(page_id) LIMIT 5""",
-)
-def url_domain_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    host = F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?([^/?#]*)", 1)
-    domain = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
-    return pages.groupBy(domain.alias("domain")).agg(F.count("*").alias("n"), F.min("page_id").alias("first")).orderBy(F.desc("n"), "first").limit(5).select("domain", "n")
+    return dict(SQL)
