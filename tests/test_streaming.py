@@ -15,3 +15,16 @@ def test_changes_keep_state_between_batches(spark, tmp_path):
         assert [tuple(r) for r in spark.table("changes_out").orderBy("event_id").collect()] == [(7, 1, None, "a", 0), (7, 4, "a", "b", 2)]
     finally:
         query.stop()
+
+
+def test_host_policies(spark, tmp_path):
+    from loomline.streaming import hosts
+
+    source = tmp_path / "in"
+    rows = [("a", "2024-01-01 00:00:00", "blocked"), ("a", "2024-01-01 00:10:00", "blocked"), ("a", "2024-01-01 00:11:00", "ok"), ("b", "2024-01-01 00:00:00", "blocked"), ("b", "2024-01-01 02:00:00", "blocked")]
+    spark.createDataFrame(rows, "host string, ts string, outcome string").selectExpr("host", "cast(ts as timestamp) ts", "outcome").coalesce(1).write.parquet(str(source))
+    stream = hosts.policies(spark.readStream.schema("host string, ts timestamp, outcome string").parquet(str(source)))
+    query = stream.writeStream.format("memory").queryName("hosts_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
+    got = [(r["host"], r["blocks"], r["browser_until"] is not None) for r in spark.table("hosts_out").orderBy("host", "ts").collect()]
+    assert got == [("a", 1, False), ("a", 2, True), ("a", 0, False), ("b", 1, False), ("b", 1, False)]
