@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, linkage, monitoring, pages, records, urls  # noqa: F401  they register their queries
+from . import enrichment, extraction, linkage, monitoring, pages, records, urls  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
