@@ -17,7 +17,7 @@ as places differ. Empty tables give no rows. Other columns are kept by `cleaned`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -86,6 +86,12 @@ def edit_distance(a: F.Column, b: F.Column, edits: int) -> F.Column:
     A band of 2 * edits + 1 rows around the diagonal is held as bits of vertical differences, and moves down a row with
     each character of b; the last bit's row is followed down the diagonal to the end of a, then along it.
     """
+    # a let-binding: else the steps would compute the arrays anew
+    bound = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: _banded(p["a"], p["b"], edits))
+    return F.element_at(bound, 1)
+
+
+def _banded(a: F.Column, b: F.Column, edits: int) -> F.Column:
     width = 2 * edits + 1
     ones = (1 << width) - 1
     rows, columns = F.size(a), F.size(b)
@@ -136,15 +142,17 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     """doc_id, exact and near: numbers of the lines that equal, or nearly equal, a line before them; one row for each
     document that has such lines."""
     lines = _hashed(docs, id_col, text_col)
-    kinds = common.saved(lines.groupBy("h1", "h2", "content").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("first"), F.count("*").alias("n")), "lines")
+    kinds = lines.groupBy("h1", "h2", "content").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("first"), F.count("*").alias("n"))
+    kinds = common.saved(kinds.withColumn("chars", F.char_length("content")), "lines")
 
-    entries = kinds.select(F.explode(keys(F.col("content"), F.char_length("content"), edits)).alias("key"), "h1").repartition("key")
-    shared = entries.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select(F.col("key").alias("shared"))
-    met = common.saved(entries.join(shared.hint("shuffle_hash"), F.col("key") == F.col("shared"), "left_semi").distinct(), "met")
+    entries = kinds.select(F.explode(keys(F.col("content"), F.col("chars"), edits)).alias("key"), "h1")
+    by_key = Window.partitionBy("key")
+    met = entries.select("key", "h1", F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi")).where("lo <> hi")
+    met = common.saved(met.select("key", "h1").distinct(), "met")
     half = len(_LETTERS) // 2
     some = common.saved(
         kinds.join(met.select(F.col("h1").alias("_h")).distinct(), F.col("h1") == F.col("_h"), "left_semi")
-        .select("h1", "h2", "first", "content", F.char_length("content").alias("chars"), _counts(F.col("content"), _LETTERS[:half]).alias("c1"), _counts(F.col("content"), _LETTERS[half:]).alias("c2")),
+        .select("h1", "h2", "first", "content", "chars", _counts(F.col("content"), _LETTERS[:half]).alias("c1"), _counts(F.col("content"), _LETTERS[half:]).alias("c2")),
         "candidates",
     )
     side = lambda x: met.join(some.select("h1", "first", "chars", "c1", "c2"), "h1").select(F.col("key").alias(f"key_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("h1", "first", "chars", "c1", "c2")))
