@@ -10,9 +10,9 @@ group (prefix and size), prefix, and a parity signature of the set. Documents of
 and size one group. 3. Groups are laid out by prefix shingle. Along each shingle's list only the pairs of each group with
 the list's first and with its neighbour are formed, so that a list of n groups gives 2n pairs. Pairs are filtered by size
 and by signature (its bits that differ are at most the symmetric difference), and verified on the texts. 4. Verified
-links give components. Only lists that hold several components go on: their groups are expanded into nodes, and every pair
-of nodes from different components is filtered and verified. What is left out lies within a component already, so that
-the components are exact.
+links give components. Only lists that hold several components go on: their groups are expanded into nodes; after
+rounds of pairs of neighbours in a list, every pair of nodes from different components is filtered and verified. What is
+left out lies within a component already, so that the components are exact.
 
 Cases: null, empty and white-space texts have empty sets and link with nothing; shorter texts than WIDTH words have one
 shingle. Ties in the order go by hash. Repeated rows are nodes of one set. A row without an id is linked by its text and
@@ -23,6 +23,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ WIDTH, PERCENT = 5, 80
 #: Counters of the shingle counts: COUNTERS_PER_DOC a document, a power of two within these bounds.
 COUNTERS_PER_DOC, LEAST_COUNTERS, MOST_COUNTERS = 16, 1 << 16, 1 << 24
 _SLICE = 1 << 15
+#: Words of the short signature, which joins compare.
+_WORDS = 16
+#: Rounds of linear pairs along the lists that still hold several components.
+ROUNDS = 1
 #: Groups of which a task remembers that it has written their prefix.
 REMEMBERED = 1_000_000
 
@@ -96,7 +101,7 @@ def _add(total: np.ndarray, h: np.ndarray, counters: int) -> None:
     total[at] += n
 
 
-_ROW = "doc_id long, n long, node long, grp long, prefix array<long>, signature binary"
+_ROW = "doc_id long, n long, node long, grp long, prefix array<long>, signature binary, bits array<long>"
 
 
 def sketched(source: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -121,7 +126,7 @@ def sketched(source: DataFrame, counts: np.ndarray) -> DataFrame:
                 node = common.mix(_sums(common.mix(h, 20), d, size) + n.astype(np.uint64), 22)
                 group = common.mix(_sums(np.where(short, ordered, np.uint64(0)), d, size) + n.astype(np.uint64), 23)
             node, group = node.view(np.int64), group.view(np.int64)
-            prefixes, signatures = [None] * size, [None] * size
+            prefixes, signatures, bits = [None] * size, [None] * size, [None] * size
             tokens = h.view(np.int64)
             for k in np.flatnonzero(n).tolist():
                 if int(group[k]) not in groups:
@@ -129,11 +134,12 @@ def sketched(source: DataFrame, counts: np.ndarray) -> DataFrame:
                     prefixes[k] = np.append(tokens[first[k] : first[k] + prefix_length(n[k : k + 1])[0]], group[k])
                 if int(node[k]) not in nodes:
                     nodes.add(int(node[k]))
-                    signatures[k] = _parity(h[first[k] : first[k + 1]])
+                    signatures[k] = _parity(h[first[k] : first[k + 1]], 1 << max(7, (2 * int(n[k]) - 1).bit_length()))
+                    bits[k] = np.frombuffer(_parity(h[first[k] : first[k + 1]], 64 * _WORDS), np.int64)
             if len(groups) > REMEMBERED:
                 groups.clear()
                 nodes.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(node), pa.array(group), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], ["doc_id", "n", "node", "grp", "prefix", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(node), pa.array(group), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "node", "grp", "prefix", "signature", "bits"])
 
     return source.mapInArrow(run, _ROW)
 
@@ -147,9 +153,8 @@ def _sums(values: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _parity(h: np.ndarray) -> bytes:
-    """Bit b says whether an odd number of the set's hashes end in b; 2**k bits, two to four for each hash."""
-    bits = 1 << max(7, (2 * len(h) - 1).bit_length())
+def _parity(h: np.ndarray, bits: int) -> bytes:
+    """Bit b says whether an odd number of the set's hashes end in b. Two to four bits for each hash tell sets well."""
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -164,6 +169,12 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.frombuffer(b, np.uint64)).sum())
 
 
+def alike(bits_a: F.Column, bits_b: F.Column, n_a: F.Column, n_b: F.Column) -> F.Column:
+    """Whether short signatures allow a link: a link's symmetric difference is at most this share of the sizes' sum."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k)))) for k in range(_WORDS)])
+    return apart * (100 + PERCENT) <= (100 - PERCENT) * (n_a + n_b)
+
+
 # --- pairs -------------------------------------------------------------------------------------------------------
 
 
@@ -213,13 +224,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame
     return close.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long")
 
 
+def _spread(lists: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, node, n, label and bits of the lists that hold three nodes or more and several components. A group of
+    several nodes is a list of its own."""
+    placed = nodes.select("node", "grp", "n").join(labels, "node", "left").select("node", "grp", F.coalesce("label", "node").alias("label"))
+    several = placed.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select(F.col("grp").alias("token"), "grp")
+    spread = lists.select("token", "grp").distinct().unionByName(several).join(placed, "grp")
+    some = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("token")
+    return common.saved(spread.join(some, "token").select("token", "node", "label").join(nodes.select("node", "n", "bits"), "node").select("token", "node", "n", "label", "bits"), "open")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_column(docs, text_col).alias("_text"))
     rows = source.count()
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(1, rows * COUNTERS_PER_DOC - 1).bit_length()))
     light = common.saved(sketched(source, counted(source, counters)), "sets")
-    nodes = common.saved(light.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.first("signature", ignorenulls=True).alias("signature"), F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp")), "nodes")
+    nodes = common.saved(light.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.first("signature", ignorenulls=True).alias("signature"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp")), "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("head"))
 
     # lists: the groups that have a shingle in their prefix; the group itself stands as a shingle of its nodes
@@ -236,15 +257,25 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = common.saved(verified(pairs.unionByName(within), nodes, source), "links")
     labels = common.saved(components(links), "labels")
 
-    # what is left: lists with several components, node by node
-    label = F.coalesce("label", F.col("node"))
-    placed = nodes.select("node", "grp", "n").join(labels, "node", "left").select("node", "grp", "n", label.alias("label"))
-    several = placed.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select(F.col("grp").alias("token"), "grp")
-    spread = lists.select("token", "grp").distinct().unionByName(several).join(placed, "grp")
-    open_lists = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("token")
-    spread = common.saved(spread.join(open_lists, "token").select("token", "node", "n", "label"), "open")
-    other = spread.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = spread.join(other, (spread["token"] == other["token"]) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & may_link(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b")
+    # what is left: lists with several components, node by node. First a few rounds of pairs of neighbours in a list that
+    # stand in different components, which are linear; they leave few components, whose pairs are then all tried
+    for _ in range(ROUNDS):
+        spread = _spread(lists, nodes, labels)
+        if spread.isEmpty():
+            break
+        orders = [Window.partitionBy("token").orderBy(*o) for o in (("label", "n", "node"), ("n", "node"), (F.xxhash64("node"), "node"))]
+        fields = F.struct("node", "n", "label", "bits")
+        beside = spread.select("*", *(F.lag(fields).over(o).alias(f"p{k}") for k, o in enumerate(orders))).select("node", "n", "label", "bits", F.explode(F.array("p0", "p1", "p2")).alias("p")).where(F.col("p").isNotNull() & (F.col("p.label") != F.col("label")))
+        beside = beside.where(may_link(F.col("n"), F.col("p.n")) & alike(F.col("bits"), F.col("p.bits"), F.col("n"), F.col("p.n")))
+        more = common.saved(verified(beside.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")), nodes, source), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = common.saved(components(links), "labels")
+    spread = _spread(lists, nodes, labels)
+    other = spread.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"))
+    can = (F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & may_link(F.col("n"), F.col("n_b")) & alike(F.col("bits"), F.col("bits_b"), F.col("n"), F.col("n_b"))
+    rest = spread.join(other, (F.col("token") == F.col("token_b")) & can).select(F.col("node").alias("a"), "b")
     more = common.saved(verified(rest, nodes, source), "links")
     if not more.isEmpty():
         labels = common.saved(components(links.unionByName(more)), "labels")
