@@ -108,17 +108,15 @@ def logits(data: np.ndarray, offsets: np.ndarray, amounts: np.ndarray, bias: flo
     return bias + total / np.maximum(count, 1)
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, float]:
-    """The model from at most SAMPLE_ROWS rows of labelled, each cut to SAMPLE_CHARS characters."""
-    rows = (
-        labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), F.col(label_col).cast("int").alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(SAMPLE_ROWS)
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["id"] is None, r["id"], r["text"]))
-    return train([r["text"] for r in rows], [int(r["label"] != 0) for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, float]:
+    """The model from at most SAMPLE_ROWS rows of labels (id_col, label_col) and their texts, each cut to SAMPLE_CHARS
+    characters. The sample is drawn from the labels alone, so that its ids can be broadcast and no text is shuffled."""
+    sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label"))
+    sample = docs.sparkSession.createDataFrame(sample.orderBy(F.xxhash64("_label_id"), "_label_id", "_label").limit(SAMPLE_ROWS).collect(), sample.schema)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
+    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("_label_id")).select("id", "text", "_label").limit(2 * SAMPLE_ROWS).collect()
+    rows.sort(key=lambda r: (r["id"], r["text"], r["_label"]))
+    return train([r["text"] for r in rows[:SAMPLE_ROWS]], [int(r["_label"] != 0) for r in rows[:SAMPLE_ROWS]])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -139,8 +137,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = common.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
+    labels = common.read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    learn = labels.where(~held_out("label_id") & F.col("label").isNotNull()).join(docs, F.col("label_id") == F.col("doc_id"))
-    scored = score(docs.withColumn("held_out", held_out("doc_id")), fit(learn, "doc_id", "text", "label"))
+    model = fit(docs, labels.where(~held_out("doc_id")))
+    scored = score(docs.withColumn("held_out", held_out("doc_id")), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
