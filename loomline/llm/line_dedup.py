@@ -150,8 +150,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     met = entries.select("key", "h1", F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi")).where("lo <> hi")
     met = common.saved(met.select("key", "h1").distinct(), "met")
     half = len(_LETTERS) // 2
+    # both sides grow with the corpus here and below: merged at every size, so that small inputs run the plan of large ones
     some = common.saved(
-        kinds.join(met.select(F.col("h1").alias("_h")).distinct(), F.col("h1") == F.col("_h"), "left_semi")
+        kinds.join(met.select(F.col("h1").alias("_h")).distinct().hint("merge"), F.col("h1") == F.col("_h"), "left_semi")
         .select("h1", "h2", "first", "content", "chars", _counts(F.col("content"), _LETTERS[:half]).alias("c1"), _counts(F.col("content"), _LETTERS[half:]).alias("c2")),
         "candidates",
     )
@@ -166,7 +167,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
 
     flagged = kinds.select("h1", "h2", "first", "n").join(late, ["h1", "h2"], "left").where("n > 1 OR late")
     flagged = flagged.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    places = lines.select("doc_id", "line", "h1", "h2").join(flagged, ["h1", "h2"])
+    places = lines.select("doc_id", "line", "h1", "h2").join(flagged.hint("merge"), ["h1", "h2"])
     again = _place(F.col("doc_id"), F.col("line")) != F.col("first")
     gone = places.where(again | F.col("late")).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.when(again, F.col("line")))).alias("exact"),
