@@ -7,7 +7,8 @@ that the parts of a block decode in parallel. Checksums guard words, states and
 file split at once: numpy steps through them side by side.
 
 The text is shuffled once, by range of id; ids, tables and blocks are then written and read in place. A block holds
-whole documents, so that reading needs no shuffle. Starts come from sums by block and by part.
+whole documents and knows its place in its part, so that reading needs no shuffle: starts come from the sums of parts, one
+row a partition of the range shuffle.
 
 Cases: null and empty texts have the end id alone. Rows without an id come first. Repeated ids follow one another in any
 order. An empty table writes an empty file. Other columns are ignored. An altered block fails the read.
@@ -15,6 +16,7 @@ order. An empty table writes an empty file. Other columns are ignored. An altere
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,43 +39,85 @@ TOGETHER = 48
 CHECKPOINT = 512
 _LOW = np.uint64(1 << 31)
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 
+class Tokens:
+    """Ids of texts by the tokenizers library. The vocabulary drops white space and never looks across a space, so that
+    each chunk between spaces, and each word in it, goes through the library once and is remembered."""
+
+    def __init__(self, content: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_buffer(content)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        model = json.loads(content)
+        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        suffix = model["model"]["end_of_word_suffix"]
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for token, i in model["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids."""
+        rows = [t.split(" ") for t in texts]
+        new = set().union(*rows).difference(self.chunks)
+        # below U+0300, but for one capital, neither composing nor lower case changes where words end
+        plain = [c for c in new if max(c) < "\u0300" and "\u0130" not in c]
+        cut = [self._cut(c.lower()) for c in plain]
+        self._learn(list(set().union(*cut).difference(self.words)))
+        get = self.words.__getitem__
+        self.chunks.update(zip(plain, [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in cut], strict=True))
+        rest = [c for c in new if c not in self.chunks]
+        for chunk, encoded in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.chunks[chunk] = np.array(encoded.ids, "<u2").tobytes()
+        get = self.chunks.__getitem__
+        out = [b"".join(map(get, row)) for row in rows]
+        for chunk in new:
+            if len(chunk) > 64:
+                del self.chunks[chunk]
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = {"": b""}
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        return out
+
+    def _cut(self, chunk: str) -> list[str]:
+        """The words of a chunk; letters alone, or with one sign behind them, need no pattern."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.find(chunk)
+
+    def _learn(self, words: list[str]) -> None:
+        """All words in one call; each ends with the one id that has the vocabulary's mark of a word's end."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):
+            coded, at = ids.tobytes(), 0
+            for word, end in zip(words, (ends * 2).tolist(), strict=True):
+                self.words[word] = coded[at:end]
+                at = end
+        else:
+            for word, encoded in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.words[word] = np.array(encoded.ids, "<u2").tobytes()
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(content: bytes):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_buffer(content)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer, {"": b""}
-
-
-def _encode(texts: list[str], content: bytes, end_id: int) -> list[bytes]:
-    """Little-endian unsigned 16-bit ids. The vocabulary drops white space and never looks across a space, so that each
-    chunk between spaces is encoded once and remembered."""
-    tokenizer, known = _tokenizer(content)
-    if len(known) > REMEMBERED:
-        known.clear()
-        known[""] = b""
-    chunks = [t.split(" ") for t in texts]
-    new = list({c for row in chunks for c in row} - known.keys())
-    for chunk, encoded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[chunk] = np.array(encoded.ids, "<u2").tobytes()
-    end = np.array([end_id], "<u2").tobytes()
-    out = [b"".join(map(known.__getitem__, row)) + end for row in chunks]
-    for chunk in new:
-        if len(chunk) > 64:
-            del known[chunk]
-    return out
+def _tokens(content: bytes) -> Tokens:
+    return Tokens(content)
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, part, seq and ids (binary, unsigned 16-bit): parts and places in them follow the order of id_col."""
+    """doc_id, part, seq, at and ids (binary, unsigned 16-bit): parts and places in them follow the order of id_col; `at`
+    ids of the part come before."""
     spark = docs.sparkSession
     with open(path, "rb") as file:
         content = file.read(64 << 20)
@@ -82,14 +127,16 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_column(docs, text_col).alias("_text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, at = TaskContext.get().partitionId(), 0, 0
+        known, end = _tokens(shared.value), np.array([end_id], "<u2").tobytes()
         for batch in common.slices(batches, "_text", 2 << 20):
-            ids = _encode(batch.column("_text").to_pylist(), shared.value, end_id)
+            ids = [x + end for x in known(batch.column("_text").to_pylist())]
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(ids, pa.binary())], ["doc_id", "part", "seq", "ids"])
-            seq += n
+            ends = at + np.cumsum([len(x) // 2 for x in ids])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(np.append(at, ends[:-1])), pa.array(ids, pa.binary())], ["doc_id", "part", "seq", "at", "ids"])
+            seq, at = seq + n, int(ends[-1])
 
-    return ordered.mapInArrow(run, "doc_id long, part int, seq long, ids binary")
+    return ordered.mapInArrow(run, "doc_id long, part int, seq long, at long, ids binary")
 
 
 def counted(tokens: DataFrame) -> np.ndarray:
@@ -203,7 +250,7 @@ class Model:
         return [w[: b["n"]] for w, b in zip(whole, blocks, strict=True)]
 
 
-_BLOCK = "part int, seq long, n_tokens long, doc_ids array<long>, lengths array<long>, words binary, states binary, places binary, crc_coded long, crc_ids long"
+_BLOCK = "part int, at long, n_tokens long, doc_ids array<long>, lengths array<long>, words binary, states binary, places binary, crc_coded long, crc_ids long"
 
 
 def encoded(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
@@ -211,18 +258,18 @@ def encoded(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
-        waiting: list[tuple] = []  # (part, first place, document ids, id arrays)
+        waiting: list[tuple] = []  # (part, ids before it, document ids, id arrays)
         block: tuple | None = None
         size = 0
         for batch in batches:
             data, offsets = common.bytes_of(batch.column("ids"))
             data = data.view("<u2")
-            for k, (doc, part, seq) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "seq")), strict=True)):
-                if block and (size >= BLOCK_TOKENS or part != block[0] or seq != block[1] + len(block[2])):
+            for k, (doc, part, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "at")), strict=True)):
+                if block and (size >= BLOCK_TOKENS or part != block[0] or at != block[1] + size):
                     waiting.append(block)
                     block = None
                 if block is None:
-                    block, size = (part, seq, [], []), 0
+                    block, size = (part, at, [], []), 0
                 ids = data[offsets[k] // 2 : offsets[k + 1] // 2]
                 block[2].append(doc)
                 block[3].append(ids)
@@ -235,16 +282,16 @@ def encoded(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
         if waiting:
             yield _rows(model, waiting)
 
-    return tokens.select("doc_id", "part", "seq", "ids").mapInArrow(run, _BLOCK)
+    return tokens.select("doc_id", "part", "at", "ids").mapInArrow(run, _BLOCK)
 
 
 def _rows(model: Model, blocks: list[tuple]) -> pa.RecordBatch:
     ids = [np.concatenate(b[3]) for b in blocks]
     rows = []
-    for (part, seq, docs, pieces), whole, made in zip(blocks, ids, model.encode(ids), strict=True):
+    for (part, at, docs, pieces), whole, made in zip(blocks, ids, model.encode(ids), strict=True):
         words, states, places = made["words"].astype("<u4").tobytes(), made["states"].astype("<u8").tobytes(), made["places"].astype("<i8").tobytes()
         crc = zlib.crc32(places, zlib.crc32(states, zlib.crc32(words)))
-        rows.append({"part": part, "seq": seq, "n_tokens": len(whole), "doc_ids": docs, "lengths": [len(p) for p in pieces], "words": words, "states": states, "places": places, "crc_coded": crc, "crc_ids": zlib.crc32(whole.astype("<u4").tobytes())})
+        rows.append({"part": part, "at": at, "n_tokens": len(whole), "doc_ids": docs, "lengths": [len(p) for p in pieces], "words": words, "states": states, "places": places, "crc_coded": crc, "crc_ids": zlib.crc32(whole.astype("<u4").tobytes())})
     types = {"part": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "words": pa.binary(), "states": pa.binary(), "places": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.int64())) for c in rows[0]], list(rows[0]))
 
@@ -266,11 +313,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         freq[row["id"]] = row["freq"]
     shared = spark.sparkContext.broadcast(freq)
     blocks = spark.read.parquet(f"{folder}/blocks")
-    in_part = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    heads = blocks.select("part", "seq", "n_tokens")
     # one row a part, as many as the range shuffle had partitions
-    parts = heads.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    starts = heads.withColumn("inner", in_part).join(parts.select("part", "before"), "part").select(F.col("part").alias("_part"), F.col("seq").alias("_seq"), (F.col("inner") + F.col("before")).alias("_first"))
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select(F.col("part").alias("_part"), "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
@@ -286,14 +330,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError("a block's ids were altered")
                 ends = np.cumsum(r["lengths"])
                 begins = ends - r["lengths"]
-                n = len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["part"]] * n, pa.int32()), pa.array([r["seq"]] * n, pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(begins, pa.int64()), pa.array([whole[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())],
-                    ["part", "seq", "doc_id", "inner", "ids"],
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array(begins + r["before"] + r["at"], pa.int64()), pa.array([whole[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())],
+                    ["doc_id", "start", "ids"],
                 )
 
-    decoded = blocks.mapInArrow(run, "part int, seq long, doc_id long, inner long, ids binary")
-    return decoded.join(starts, (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq"))).select("doc_id", (F.col("inner") + F.col("_first")).alias("start"), "ids")
+    placed = blocks.join(F.broadcast(parts), F.col("part") == F.col("_part")).drop("_part")
+    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
