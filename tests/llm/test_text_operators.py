@@ -186,6 +186,30 @@ def test_personal_data(spark):
     assert len(got) == len(docs)
 
 
+def test_personal_data_that_no_rule_reads(spark):
+    r = random.Random(6)
+    luhn = lambda d: next(d + c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d + c))) % 10 == 0)
+    docs = []
+    for k in range(200):
+        card = luhn("".join(r.choice("0123456789") for _ in range(15)))
+        ip = ".".join(str(r.randrange(1, 255)) for _ in range(4))
+        docs.append((k, f"word w{k}.{k}@mail{k % 9}.example.com or {ip} of {card} and +1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)} end"))
+    planted = {
+        "email": "ana.7 (at) mail7 (dot) example (dot) com",
+        "ip": "10[.]20[.]30[.]40",
+        "card": "4111  1111  1111  1111",
+        "phone": "(640) 555-0953",
+    }
+    docs += [(1000 + k, f"so {p} it is") for k, p in enumerate(planted.values())] + [(2000, "of 4111  1111  1111  1112 or 10[.]20[.]300[.]40 on 2024-01-15 12 it")]
+    got = {row["doc_id"]: row for row in pii.redactions(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).select("doc_id", pii.joined("base").alias("base"), pii.joined("spans").alias("spans")).collect()}
+    for k, (kind, span) in enumerate(planted.items()):
+        assert got[1000 + k]["base"] == ""
+        assert f"{kind}:3:{3 + len(span)}" in got[1000 + k]["spans"].split(",")
+    assert got[2000]["spans"] == ""
+    labels = {(row["kind"], row["label"]) for row in pii.labelled(pii.found(spark.createDataFrame([(1, "to a@mail7.example.com by")], "doc_id long, text string"))).select("s.kind", "label").collect()}
+    assert labels == {("email", 1.0)}
+
+
 @here
 def test_classifier_on_held_out_rows(spark):
     labels = {r[0]: r[1] for r in rows_of("labels", "doc_id, quality", DATA)}
