@@ -1,14 +1,18 @@
 """Line dedup by a segment-partition edit join. DataFrame functions only.
 
 A line goes if an equal line stands before it in the corpus (by document id, then line), or if a line before it is within
-MAX_EDITS edits. Lines under LEAST_CHARS characters stay.
+the edits of both. These grow with the line: one for each WORDS_PER_EDIT words (between single spaces; word triples count,
+each once), MAX_EDITS at least. Lines under LEAST_CHARS characters stay.
 
-Equal lines are folded first, with partial aggregation. Each distinct line is then cut into MAX_EDITS + 1 even segments; of
-two lines within MAX_EDITS edits, one has a segment of the other unchanged, nearly in its place. So each line writes the
+Equal lines are folded first, with partial aggregation. For MAX_EDITS, each distinct line is then cut into MAX_EDITS + 1 even
+segments; of two lines within MAX_EDITS edits, one has a segment of the other unchanged, nearly in its place. So each line writes the
 keys (length, segment, its characters) of its own segments, and of the substrings that could be a segment of a line up to
-MAX_EDITS shorter, at the places that the edits left over on either side allow. Lines that share a key are paired if their
-lengths and the counts of twelve letters are close enough. Pairs are verified by a banded bit-parallel edit distance; the
-built-in thresholded distance, which is much cheaper as an expression, drops most before it.
+MAX_EDITS shorter, at the places that the edits left over on either side allow. For more edits, each line writes word triples: an edit
+changes four triples at most (two words), so that of the 4 * edits + 1 triples with the least hashes, two lines within these
+edits share one. Keys also tell the length in steps of STEP characters, of the line and of lines longer by its edits. Lines
+that share a key are paired if their lengths and the counts of twelve letters are close enough, first with the earliest
+line of the key, then, if that is not near, with all. Pairs are verified by the built-in thresholded distance, those of few
+edits also by a banded bit-parallel one.
 
 Cases: null and empty texts have no lines to remove. Lines are compared as they are, white space included. Rows without
 an id come last. Rows that repeat an id count as one document: each keeps the lines that the first has. Ties cannot occur,
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_EDITS, LEAST_CHARS = 1, 20
+WORDS_PER_EDIT, STEP = 12, 64
 _LETTERS = "eatnrioshdlu"
 _LAST = "1" + "0" * 37
 
@@ -59,6 +64,23 @@ def keys(content: F.Column, n: F.Column, edits: int) -> F.Column:
     return F.array_compact(F.array_distinct(F.array(*out)))
 
 
+def triples(content: F.Column) -> F.Column:
+    """Hashes of the word triples, ascending, each once."""
+    words = F.transform(F.split(content, " ", -1), lambda w: F.xxhash64(w))
+    triple = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 2), F.arrays_zip(F.slice(w, F.lit(2), F.size(w) - 2).alias("b"), F.slice(w, F.lit(3), F.size(w) - 2).alias("c")), lambda a, bc: F.xxhash64(a, bc))
+    # a let-binding: else each use would split anew
+    bound = F.transform(F.array(words), lambda w: F.when(F.size(w) > 2, F.array_sort(F.array_distinct(triple(w)))).otherwise(F.array().cast("array<bigint>")))
+    return F.element_at(bound, 1)
+
+
+def word_keys(triples: F.Column, n: F.Column, edits: F.Column) -> F.Column:
+    """Keys of a line of n characters that may be within `edits` edits of another; none for MAX_EDITS or less."""
+    some = F.slice(triples, F.lit(1), 4 * edits + 1)
+    steps = F.sequence(F.floor(n / STEP), F.floor((n + edits) / STEP))
+    out = F.flatten(F.transform(some, lambda t: F.transform(steps, lambda k: F.xxhash64(F.lit("words"), t, k))))
+    return F.when(edits > MAX_EDITS, out).otherwise(F.array().cast("array<bigint>"))
+
+
 def _counts(content: F.Column, letters: str) -> F.Column:
     """Counts of letters, ten bits each, saturating."""
     packed = F.lit(0).cast("long")
@@ -138,17 +160,23 @@ def characters(c: F.Column) -> F.Column:
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None) -> DataFrame:
     """doc_id, exact and near: numbers of the lines that equal, or nearly equal, a line before them; one row for each
-    document that has such lines."""
+    document that has such lines. With `edits`, that many for lines of any length."""
     lines = _hashed(docs, id_col, text_col)
     kinds = lines.groupBy("h1", "h2", "content").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("first"), F.count("*").alias("n"))
     kinds = common.saved(kinds.withColumn("chars", F.char_length("content")), "lines")
 
-    entries = kinds.select(F.explode(keys(F.col("content"), F.col("chars"), edits)).alias("key"), "h1")
+    found = keys(F.col("content"), F.col("chars"), edits or MAX_EDITS)
+    if edits is None:
+        entries = kinds.select("h1", "chars", found.alias("found"), triples(F.col("content")).alias("triples"))
+        entries = entries.withColumn("edits", F.greatest(F.lit(MAX_EDITS), F.floor(F.size("triples") / WORDS_PER_EDIT).cast("int")))
+        entries = entries.select(F.explode(F.concat("found", word_keys(F.col("triples"), F.col("chars"), F.col("edits")))).alias("key"), "h1", "edits")
+    else:
+        entries = kinds.select(F.explode(found).alias("key"), "h1", F.lit(edits).alias("edits"))
     by_key = Window.partitionBy("key")
-    met = entries.select("key", "h1", F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi")).where("lo <> hi")
-    met = common.saved(met.select("key", "h1").distinct(), "met")
+    met = entries.select("key", "h1", "edits", F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi")).where("lo <> hi")
+    met = common.saved(met.select("key", "h1", "edits").distinct(), "met")
     half = len(_LETTERS) // 2
     # both sides grow with the corpus here and below: merged at every size, so that small inputs run the plan of large ones
     some = common.saved(
@@ -156,16 +184,30 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
         .select("h1", "h2", "first", "content", "chars", _counts(F.col("content"), _LETTERS[:half]).alias("c1"), _counts(F.col("content"), _LETTERS[half:]).alias("c2")),
         "candidates",
     )
-    side = lambda x: met.join(some.select("h1", "first", "chars", "c1", "c2"), "h1").select(F.col("key").alias(f"key_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("h1", "first", "chars", "c1", "c2")))
-    a, b = side("a"), side("b")
-    near = (F.abs(F.col("chars_a") - F.col("chars_b")) <= edits) & (_apart(F.col("c1_a"), F.col("c1_b"), half) + _apart(F.col("c2_a"), F.col("c2_b"), half) <= 2 * edits)
-    pairs = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("first_a") < F.col("first_b")) & near).select("h1_a", "first_a", "h1_b", "first_b").distinct()
+    facts = ("first", "h1", "chars", "edits", "c1", "c2")
+    sides = met.join(some.select("h1", "first", "chars", "c1", "c2"), "h1").select("key", *facts)
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in ("key", *facts)))
+    limit = F.least("edits_a", "edits_b")
+    near = (F.abs(F.col("chars_a") - F.col("chars_b")) <= limit) & (_apart(F.col("c1_a"), F.col("c1_b"), half) + _apart(F.col("c2_a"), F.col("c2_b"), half) <= 2 * limit)
     text = lambda x: some.select(F.col("h1").alias(f"_h_{x}"), F.col("first").alias(f"_f_{x}"), F.col("h2").alias(f"h2_{x}"), F.col("content").alias(f"t_{x}"))
-    joined = pairs.join(text("a"), (F.col("h1_a") == F.col("_h_a")) & (F.col("first_a") == F.col("_f_a"))).join(text("b"), (F.col("h1_b") == F.col("_h_b")) & (F.col("first_b") == F.col("_f_b")))
-    close = joined.where(F.levenshtein("t_a", "t_b", edits) >= 0).where(edit_distance(characters(F.col("t_a")), characters(F.col("t_b")), edits) <= edits)
-    late = close.select(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2")).distinct().withColumn("late", F.lit(True))
 
-    flagged = kinds.select("h1", "h2", "first", "n").join(late, ["h1", "h2"], "left").where("n > 1 OR late")
+    def late(a: DataFrame, b: DataFrame) -> DataFrame:
+        """h1, h2 and first of the lines of b that are near an earlier one of a."""
+        pairs = side(a, "a").join(side(b, "b"), (F.col("key_a") == F.col("key_b")) & (F.col("first_a") < F.col("first_b")) & near)
+        pairs = pairs.select("h1_a", "first_a", "h1_b", "first_b", limit.alias("limit")).distinct()
+        joined = pairs.join(text("a"), (F.col("h1_a") == F.col("_h_a")) & (F.col("first_a") == F.col("_f_a"))).join(text("b"), (F.col("h1_b") == F.col("_h_b")) & (F.col("first_b") == F.col("_f_b")))
+        few = edits or MAX_EDITS
+        exact = F.when(F.col("limit") > few, True).otherwise(edit_distance(characters(F.col("t_a")), characters(F.col("t_b")), few) <= F.col("limit"))
+        close = joined.where("levenshtein(t_a, t_b, `limit`) >= 0").where(exact)
+        return close.select(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2"), F.col("first_b").alias("first")).distinct()
+
+    # a group of near lines is linear in the first round, and few of it are left for the second
+    heads = sides.groupBy("key").agg(F.min(F.struct(*facts)).alias("head")).select("key", "head.*")
+    soon = common.saved(late(heads, sides), "soon")
+    rest = sides.join(soon.select(F.col("h1").alias("_h"), F.col("first").alias("_f")).hint("merge"), (F.col("h1") == F.col("_h")) & (F.col("first") == F.col("_f")), "left_anti")
+    late_ones = soon.union(late(sides, rest)).select("h1", "h2").distinct().withColumn("late", F.lit(True))
+
+    flagged = kinds.select("h1", "h2", "first", "n").join(late_ones, ["h1", "h2"], "left").where("n > 1 OR late")
     flagged = flagged.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
     places = lines.select("doc_id", "line", "h1", "h2").join(flagged.hint("merge"), ["h1", "h2"])
     again = _place(F.col("doc_id"), F.col("line")) != F.col("first")
@@ -185,9 +227,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", some("exact").alias("n_exact"), some("near").alias("n_near"), F.coalesce(numbers, F.lit("")).alias("removed_lines"))
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None) -> DataFrame:
     """docs without the removed lines, and without the documents of which no line with content is left."""
-    gone = removed(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_gone"))
+    gone = removed(docs, id_col, text_col, edits).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_gone"))
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
     out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     out = out.where(F.col("_gone").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
@@ -195,4 +237,4 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cleaned(docs)
+    return cleaned(docs, edits=MAX_EDITS)  # the edits that the tests of the pipeline state

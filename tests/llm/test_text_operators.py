@@ -173,6 +173,28 @@ def test_line_dedup(spark, edits):
     assert line_dedup.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_grows_with_the_line(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(2, 9)))
+    docs, allowed = [], lambda line: max(1, len({tuple(w[k : k + 3]) for w in [line.split(" ")] for k in range(len(w) - 2)}) // 12)
+    for k in range(20):
+        line = " ".join(word() for _ in range(r.randrange(3, 120)))
+        docs.append((10 * k, line))
+        for c in range(1, 6):
+            other = list(line)
+            for _ in range(r.randrange(1, 14)):
+                at = r.randrange(len(other))
+                other[at : at + r.randrange(2)] = [r.choice(" xyé")] * r.randrange(2)
+            docs.append((10 * k + c, "".join(other)))
+    lines = [(d, t) for d, t in docs if len(t) >= 20]
+    distance = {(a, b): brute.levenshtein(s, t) for a, s in lines for b, t in lines if a < b and a // 10 == b // 10}
+    texts = dict(lines)
+    want = {b for (a, b), n in distance.items() if 0 < n <= min(allowed(texts[a]), allowed(texts[b]))} - {b for (a, b), n in distance.items() if n == 0}
+    assert any(1 < n <= min(allowed(texts[a]), allowed(texts[b])) for (a, b), n in distance.items())
+    got = line_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"] for x in got if x["near"]} == want
+
+
 def test_personal_data(spark):
     r = random.Random(4)
     parts = ["a", "b.", "@", "@", "1", "2", ".", ".", " ", "-", "+1", "%", "_", "4111111111111111", "é", "😀", "(", ")", "555", "﷐"]
