@@ -5,11 +5,13 @@ bytes of UTF-8 (a space stands at the word's ends), hashed into BUCKETS rows. A
 learns vectors and layer together by stochastic gradient descent.
 
 Training rows are a bounded sample, SAMPLE_ROWS of the rows offered (the smallest hashes of their ids, a documented
-parameter: the model's size does not grow with the corpus). Scoring covers all rows and all words. As average and layer
+parameter: the model's size does not grow with the corpus). Of each, the whole text is learnt from: tasks count its features,
+BUCKETS numbers at most, and only these counts are collected. Scoring covers all rows and all words. As average and layer
 are linear, each feature adds a fixed amount to the logit, so that scoring is one gather over a batch's bytes.
 
 Cases: null and empty texts score as the bias says. Null labels and labels without a document are not learnt from; no
-labels at all give 0.5. Repeated ids are scored each. One class only gives scores near that class.
+labels at all give 0.5. Repeated ids are scored each; if they offer more than SAMPLE_ROWS texts, the least by id, digest of
+the text and label are learnt from. One class only gives scores near that class.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from pyspark.sql import types as T
 from . import common
 
 SAMPLE_ROWS = 4000
-#: Characters of a sampled row that training sees at most; scoring reads whole texts.
-SAMPLE_CHARS = 20_000
 MIN_GRAM, MAX_GRAM = 2, 4
 BUCKETS, DIM = 1 << 17, 16
 EPOCHS, RATE, SEED = 5, 0.5, 7
@@ -68,16 +68,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
             yield (common.mix(wide[fits], k) % np.uint64(BUCKETS)).astype(np.int64), owner[fits]
 
 
-def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-    """(amount of each row of the table to the logit of label 1, bias)."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the vector table that a whole text has, ascending, and how often."""
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    parts = [rows for rows, _ in features(data, np.array([0, len(data)]))]
+    return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> tuple[np.ndarray, float]:
+    """From counted texts: (amount of each row of the table to the logit of label 1, bias)."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    docs = []
-    for text in texts:
-        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        parts = [rows for rows, _ in features(data, np.array([0, len(data)]))]
-        docs.append(np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True))
     y = np.array(labels, np.int64)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -108,15 +110,30 @@ def logits(data: np.ndarray, offsets: np.ndarray, amounts: np.ndarray, bias: flo
     return bias + total / np.maximum(count, 1)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs = [counted(t) for t in batch.column("text").to_pylist()]
+        packed = [pa.array([zlib.compress(d[k].astype("<i4").tobytes(), 1) for d in docs], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *packed], ["id", "digest", "rows", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, float]:
-    """The model from at most SAMPLE_ROWS rows of labels (id_col, label_col) and their texts, each cut to SAMPLE_CHARS
-    characters. The sample is drawn from the labels alone, so that its ids can be broadcast and no text is shuffled."""
+    """The model from at most SAMPLE_ROWS rows of labels (id_col, label_col) and their whole texts. The sample is drawn from
+    the labels alone, so that its ids can be broadcast and no text is shuffled."""
+    spark = docs.sparkSession
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label"))
-    sample = docs.sparkSession.createDataFrame(sample.orderBy(F.xxhash64("_label_id"), "_label_id", "_label").limit(SAMPLE_ROWS).collect(), sample.schema)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("_label_id")).select("id", "text", "_label").limit(2 * SAMPLE_ROWS).collect()
-    rows.sort(key=lambda r: (r["id"], r["text"], r["_label"]))
-    return train([r["text"] for r in rows[:SAMPLE_ROWS]], [int(r["_label"] != 0) for r in rows[:SAMPLE_ROWS]])
+    sample = spark.createDataFrame(sample.orderBy(F.xxhash64("_label_id"), "_label_id", "_label").limit(SAMPLE_ROWS).collect(), sample.schema)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    offered = texts.join(F.broadcast(sample), F.col("id") == F.col("_label_id")).select("id", F.sha2("text", 256).alias("digest"), "_label")
+    chosen = offered.orderBy("id", "digest", "_label").limit(SAMPLE_ROWS).collect()
+    wanted = spark.createDataFrame(list({(r["id"], r["digest"]) for r in chosen}), offered.drop("_label").schema)
+    ids = F.broadcast(wanted.select("id").distinct())
+    found = texts.join(ids, "id", "left_semi").withColumn("digest", F.sha2("text", 256)).join(F.broadcast(wanted), ["id", "digest"], "left_semi").select("id", "digest", "text")
+    packed = T.StructType([found.schema["id"], found.schema["digest"], T.StructField("rows", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    counts = found.mapInArrow(_count, packed).groupBy("id", "digest").agg(F.first("rows").alias("rows"), F.first("counts").alias("counts"))  # copies count alike
+    array = lambda b: np.frombuffer(zlib.decompress(b), "<i4").astype(np.int64)
+    have = {(r["id"], r["digest"]): (array(r["rows"]), array(r["counts"])) for r in counts.collect()}
+    return train([have[r["id"], r["digest"]] for r in chosen], [int(r["_label"] != 0) for r in chosen])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:

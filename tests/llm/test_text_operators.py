@@ -245,3 +245,23 @@ def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, 2), (2, "", 3), (3, "some words", 4)], "doc_id long, text string, score int")
     model = quality_model.fit(docs, spark.createDataFrame([], "doc_id long, label int"))
     assert {r["score"] for r in quality_model.score(docs, model).collect()} == {0.5}
+
+
+def test_classifier_learns_from_whole_texts(spark):
+    docs = [(k, "same " * 5000 + ("good fine " if k % 2 else "bad poor ") * 3000) for k in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    amounts, _ = quality_model.fit(table, spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, label int"))
+    rows, counts = quality_model.counted(docs[1][1])
+    _, theirs = quality_model.counted(docs[0][1])
+    assert counts.sum() > 30000 and theirs.sum() > 30000
+    ours = quality_model.score(spark.createDataFrame([(1, "good fine"), (2, "bad poor")], "doc_id long, text string"), (amounts, 0.0)).collect()
+    scores = {r["doc_id"]: r["score"] for r in ours}
+    assert scores[1] > 0.6 and scores[2] < 0.4
+
+
+def test_classifier_chooses_among_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "SAMPLE_ROWS", 3)
+    docs = [(1, f"text {k} of many words w{k}") for k in range(30)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, label int")
+    one, other = (quality_model.fit(spark.createDataFrame(d, "doc_id long, text string").repartition(n), labels)[0] for d, n in ((docs, 2), (docs[::-1], 5)))
+    assert np.array_equal(one, other)
