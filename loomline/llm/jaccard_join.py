@@ -14,6 +14,9 @@ links give components. Only lists that hold several components go on: their grou
 rounds of pairs of neighbours in a list, every pair of nodes from different components is filtered and verified. What is
 left out lies within a component already, so that the components are exact.
 
+Only components are produced. The links verified on the way are enough to span them, not all links: the number of links of a
+document cannot be had from here.
+
 Cases: null, empty and white-space texts have empty sets and link with nothing; shorter texts than WIDTH words have one
 shingle. Ties in the order go by hash. Repeated rows are nodes of one set. A row without an id is linked by its text and
 names no component; its component is null where no row of it has an id. Empty tables give no rows. Other columns are
