@@ -15,7 +15,8 @@ line of the key, then, if that is not near, with all. Pairs are verified by the
 edits also by a banded bit-parallel one.
 
 Cases: null and empty texts have no lines to remove. Lines are compared as they are, white space included. Rows without
-an id come last. Rows that repeat an id count as one document: each keeps the lines that the first has. Ties cannot occur,
+an id come last. Rows that repeat an id count as one document in `removed`; `cleaned` takes from each text the lines that
+were found in it. Ties cannot occur,
 as places differ. Empty tables give no rows. Other columns are kept by `cleaned`, ignored otherwise.
 """
 
@@ -38,10 +39,10 @@ def _place(doc: F.Column, line: F.Column) -> F.Column:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line (number), h1 and h2 (of the content) and content of the lines long enough."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(common.text_column(docs, text_col), "\n", -1)).alias("line", "content"))
+    """doc_id, row (hash of the text), line (number), h1 and h2 (of the content) and content of the lines long enough."""
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(common.text_column(docs, text_col)).alias("row"), F.posexplode(F.split(common.text_column(docs, text_col), "\n", -1)).alias("line", "content"))
     lines = lines.where(F.char_length("content") >= LEAST_CHARS)
-    return lines.select("doc_id", "line", F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(1), "content").alias("h2"), "content")
+    return lines.select("doc_id", "row", "line", F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(1), "content").alias("h2"), "content")
 
 
 # --- segments ----------------------------------------------------------------------------------------------------
@@ -160,9 +161,10 @@ def characters(c: F.Column) -> F.Column:
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, by_text: bool = False) -> DataFrame:
     """doc_id, exact and near: numbers of the lines that equal, or nearly equal, a line before them; one row for each
-    document that has such lines. With `edits`, that many for lines of any length."""
+    document that has such lines. With `edits`, that many for lines of any length. With by_text, one row
+    for each doc_id and row (hash of the text)."""
     lines = _hashed(docs, id_col, text_col)
     kinds = lines.groupBy("h1", "h2", "content").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("first"), F.count("*").alias("n"))
     kinds = common.saved(kinds.withColumn("chars", F.char_length("content")), "lines")
@@ -209,9 +211,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
 
     flagged = kinds.select("h1", "h2", "first", "n").join(late_ones, ["h1", "h2"], "left").where("n > 1 OR late")
     flagged = flagged.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    places = lines.select("doc_id", "line", "h1", "h2").join(flagged.hint("merge"), ["h1", "h2"])
+    whose = ["doc_id", "row"] if by_text else ["doc_id"]
+    places = lines.select(*whose, "line", "h1", "h2").join(flagged.hint("merge"), ["h1", "h2"])
     again = _place(F.col("doc_id"), F.col("line")) != F.col("first")
-    gone = places.where(again | F.col("late")).groupBy("doc_id").agg(
+    gone = places.where(again | F.col("late")).groupBy(*whose).agg(
         F.array_sort(F.collect_set(F.when(again, F.col("line")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(~again, F.col("line")))).alias("near"),
     )
@@ -229,9 +232,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None) -> DataFrame:
     """docs without the removed lines, and without the documents of which no line with content is left."""
-    gone = removed(docs, id_col, text_col, edits).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_gone"))
+    gone = removed(docs, id_col, text_col, edits, by_text=True).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.concat("exact", "near").alias("_gone"))
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(common.text_column(docs, text_col)) == F.col("_row")), "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     out = out.where(F.col("_gone").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*((F.col("_left").alias(c) if c == text_col else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.char_length("_left")).cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns))
 

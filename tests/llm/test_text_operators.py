@@ -173,6 +173,13 @@ def test_line_dedup(spark, edits):
     assert line_dedup.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_cleaned_rows_without_an_id(spark):
+    twice = "this line stands in two of the documents"
+    docs = [(1, twice), (None, "first of its text, a line\n" + twice), (None, "something else altogether here\nand a second line that stands alone"), (7, "number seven has this line only"), (7, twice)]
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {docs[0], (None, "first of its text, a line"), docs[2], docs[3]}
+
+
 def test_line_dedup_grows_with_the_line(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(2, 9)))
