@@ -10,8 +10,10 @@ The text is shuffled once, by range of id; ids, tables and blocks are then writt
 whole documents and knows its place in its part, so that reading needs no shuffle: starts come from the sums of parts, one
 row a partition of the range shuffle.
 
-Cases: null and empty texts have the end id alone. Rows without an id come first. Repeated ids follow one another in any
-order. An empty table writes an empty file. Other columns are ignored. An altered block fails the read.
+Cases: null and empty texts have the end id alone. Strings of special tokens in a text become these tokens, as the library
+has it. Very long texts are tokenised whole and fill a block of their own. Rows without an id come first. Repeated ids
+follow one another in any order. An empty table writes an empty file. Other columns are ignored. An altered block fails
+the read.
 """
 
 from __future__ import annotations
@@ -39,54 +41,89 @@ TOGETHER = 48
 CHECKPOINT = 512
 _LOW = np.uint64(1 << 31)
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 
 
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library. The vocabulary drops white space and never looks across a space, so that
-    each chunk between spaces, and each word in it, goes through the library once and is remembered."""
+    """Ids of texts by the tokenizers library. The vocabulary drops white space and never looks across it, so that each
+    chunk between white space goes through the library once and is remembered, by two hashes of its bytes. The ids of a
+    batch are gathered from the remembered ones by numpy."""
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(content)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         model = json.loads(content)
         pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
+        #: How the tokens begin that the library looks for before all else.
+        self.marks = {t["content"][:2] for t in model["added_tokens"]}
         suffix = model["model"]["end_of_word_suffix"]
         self.last = np.zeros(1 << 16, bool)
         self.last[[i for token, i in model["model"]["vocab"].items() if token.endswith(suffix)]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids."""
-        rows = [t.split(" ") for t in texts]
-        new = set().union(*rows).difference(self.chunks)
+        # chunks: hashes in ascending order, and where their ids stand in flat
+        self.key = self.check = np.zeros(0, np.uint64)
+        self.start = self.count = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16)
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by end_id; their number in each text)."""
+        data, offsets = common.bytes_of(texts)
+        starts, ends, docs = common.word_bounds(data, offsets)
+        check = common.Rolling(data, 15).of(starts, ends)
+        key, first, of = np.unique(common.Rolling(data, 14).of(starts, ends), return_index=True, return_inverse=True)
+        if (check != check[first][of]).any():  # two chunks of one hash
+            ids = [[*e.ids, end_id] for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids])
+        check = check[first]
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        have = known.copy()
+        have[known] = self.check[at[known]] == check[known]
+        new = np.flatnonzero(~have)
+        fresh = self._encoded([data[starts[k] : ends[k]].tobytes().decode() for k in first[new].tolist()])
+        flat = np.concatenate((self.flat, np.frombuffer(b"".join(fresh), "<u2")))
+        start, count = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        start[have], count[have] = self.start[at[have]], self.count[at[have]]
+        count[new] = [len(x) // 2 for x in fresh]
+        start[new] = len(self.flat) + np.cumsum(count[new]) - count[new]
+        self._remember(key, check, start, count, flat, np.flatnonzero(~known))
+        size = count[of]
+        before = np.cumsum(size) - size
+        total = np.bincount(docs, size, len(texts)).astype(np.int64) + 1
+        out = np.full(int(total.sum()), end_id, np.uint16)
+        place = np.arange(int(size.sum()))
+        out[place + np.repeat(docs, size)] = flat[place + np.repeat(start[of] - before, size)]
+        return out, total
+
+    def _remember(self, key: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray, flat: np.ndarray, new: np.ndarray) -> None:
+        # new: those of a hash that no remembered chunk has
+        if len(self.key) + len(new) > REMEMBERED:  # go on with the chunks of this batch
+            place = np.arange(int(count.sum()))
+            self.flat = flat[place + np.repeat(start - np.cumsum(count) + count, count)]
+            self.key, self.check, self.start, self.count = key, check, np.cumsum(count) - count, count
+            self.words = {}
+            return
+        columns = [np.concatenate((old, more[new])) for old, more in ((self.key, key), (self.check, check), (self.start, start), (self.count, count))]
+        order = np.argsort(columns[0], kind="stable")
+        self.key, self.check, self.start, self.count = (c[order] for c in columns)
+        self.flat = flat
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each chunk."""
         # below U+0300, but for one capital, neither composing nor lower case changes where words end
-        plain = [c for c in new if max(c) < "\u0300" and "\u0130" not in c]
-        cut = [self._cut(c.lower()) for c in plain]
+        plain = [max(c) < "\u0300" and "\u0130" not in c and not any(m in c for m in self.marks) for c in chunks]
+        cut = [self._cut(c.lower()) for c, p in zip(chunks, plain, strict=True) if p]
         self._learn(list(set().union(*cut).difference(self.words)))
-        get = self.words.__getitem__
-        self.chunks.update(zip(plain, [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in cut], strict=True))
-        rest = [c for c in new if c not in self.chunks]
-        for chunk, encoded in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.chunks[chunk] = np.array(encoded.ids, "<u2").tobytes()
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, row)) for row in rows]
-        for chunk in new:
-            if len(chunk) > 64:
-                del self.chunks[chunk]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {"": b""}
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        return out
+        rest = [c for c, p in zip(chunks, plain, strict=True) if not p]
+        others = (np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(rest, add_special_tokens=False))
+        get, cuts = self.words.__getitem__, iter(cut)
+        return [b"".join(map(get, next(cuts))) if p else next(others) for p in plain]
 
     def _cut(self, chunk: str) -> list[str]:
         """The words of a chunk; letters alone, or with one sign behind them, need no pattern."""
@@ -98,7 +135,7 @@ class Tokens:
 
     def _learn(self, words: list[str]) -> None:
         """All words in one call; each ends with the one id that has the vocabulary's mark of a word's end."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(words):
             coded, at = ids.tobytes(), 0
@@ -128,13 +165,13 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, at = TaskContext.get().partitionId(), 0, 0
-        known, end = _tokens(shared.value), np.array([end_id], "<u2").tobytes()
+        known = _tokens(shared.value)
         for batch in common.slices(batches, "_text", 2 << 20):
-            ids = [x + end for x in known(batch.column("_text").to_pylist())]
-            n = len(ids)
-            ends = at + np.cumsum([len(x) // 2 for x in ids])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(np.append(at, ends[:-1])), pa.array(ids, pa.binary())], ["doc_id", "part", "seq", "at", "ids"])
-            seq, at = seq + n, int(ends[-1])
+            ids, total = known(batch.column("_text"), end_id)
+            n, ends = len(total), np.cumsum(total)
+            column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(at + ends - total), column], ["doc_id", "part", "seq", "at", "ids"])
+            seq, at = seq + n, at + int(ends[-1])
 
     return ordered.mapInArrow(run, "doc_id long, part int, seq long, at long, ids binary")
 
