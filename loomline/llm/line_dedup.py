@@ -1,23 +1,23 @@
 """Line dedup by a segment-partition edit join. DataFrame functions only.
 
 A line goes if an equal line stands before it in the corpus (by document id, then line), or if a line before it is within
-the edits of both. These grow with the line: one for each WORDS_PER_EDIT words (between single spaces; word triples count,
-each once), MAX_EDITS at least. Lines under LEAST_CHARS characters stay.
-
-Equal lines are folded first, with partial aggregation. For MAX_EDITS, each distinct line is then cut into MAX_EDITS + 1 even
-segments; of two lines within MAX_EDITS edits, one has a segment of the other unchanged, nearly in its place. So each line writes the
-keys (length, segment, its characters) of its own segments, and of the substrings that could be a segment of a line up to
-MAX_EDITS shorter, at the places that the edits left over on either side allow. For more edits, each line writes word triples: an edit
-changes four triples at most (two words), so that of the 4 * edits + 1 triples with the least hashes, two lines within these
-edits share one. Keys also tell the length in steps of STEP characters, of the line and of lines longer by its edits. Lines
-that share a key are paired if their lengths and the counts of twelve letters are close enough, first with the earliest
-line of the key, then, if that is not near, with all. Pairs are verified by the built-in thresholded distance, those of few
-edits also by a banded bit-parallel one.
-
-Cases: null and empty texts have no lines to remove. Lines are compared as they are, white space included. Rows without
-an id come last. Rows that repeat an id count as one document in `removed`; `cleaned` takes from each text the lines that
-were found in it. Ties cannot occur,
-as places differ. Empty tables give no rows. Other columns are kept by `cleaned`, ignored otherwise.
+EDITS edits of it. Lines of WORDS words or more (between single spaces) are compared word by word, shorter ones character by
+character, each with their like. Lines under LEAST_CHARS characters stay.
+
+Equal lines are folded first, with partial aggregation. Each distinct line is cut into EDITS + 1 even segments; of two lines
+within EDITS edits, one has a segment of the other unchanged, nearly in its place. So each line writes the keys (length,
+segment, what stands there) of its own segments, and of the pieces that could be a segment of a line up to EDITS shorter, at
+the places that the edits left over on either side allow. Lines that share a key are paired if their lengths and their
+counts of letters, or of words by hash, are close enough, first with the earliest line of the key, then, if that is not
+near, with all. A banded bit-parallel edit distance decides each pair.
+
+Only keys and places are shuffled for all lines. The texts of lines that share a key are fetched by their hashes, which
+are broadcast up to BROADCAST_LINES of them, and met by a shuffle beyond that.
+
+Cases: null and empty texts have no lines to remove. Very long texts and lines take part whole. Lines are compared as they
+are, white space included. Rows without an id come last. Rows that repeat an id count as one document in `removed`;
+`cleaned` takes from each text the lines that were found in it. Ties cannot occur, as places differ; equal lines at one
+place of repeated rows are one line. Empty tables give no rows. Other columns are kept by `cleaned`, ignored otherwise.
 """
 
 from __future__ import annotations
@@ -27,20 +27,22 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_EDITS, LEAST_CHARS = 1, 20
-WORDS_PER_EDIT, STEP = 12, 64
+EDITS, LEAST_CHARS, WORDS = 2, 20, 12
+BROADCAST_LINES = 2_000_000
 _LETTERS = "eatnrioshdlu"
 _LAST = "1" + "0" * 37
 
 
 def _place(doc: F.Column, line: F.Column) -> F.Column:
     """Document and line as one number; documents without an id come last."""
-    return F.coalesce(doc.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)"), F.lit(_LAST).cast("decimal(38,0)")).cast("decimal(38,0)") + line
+    high = doc.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)")
+    return F.coalesce(high, F.lit(_LAST).cast("decimal(38,0)")).cast("decimal(38,0)") + line
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row (hash of the text), line (number), h1 and h2 (of the content) and content of the lines long enough."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(common.text_column(docs, text_col)).alias("row"), F.posexplode(F.split(common.text_column(docs, text_col), "\n", -1)).alias("line", "content"))
+    text = common.text_column(docs, text_col)
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("line", "content"))
     lines = lines.where(F.char_length("content") >= LEAST_CHARS)
     return lines.select("doc_id", "row", "line", F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(1), "content").alias("h2"), "content")
 
@@ -48,41 +50,43 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # --- segments ----------------------------------------------------------------------------------------------------
 
 
-def keys(content: F.Column, n: F.Column, edits: int) -> F.Column:
-    """Keys of the segments of a line of n characters, and of its substrings that may be a shorter line's segment."""
-    parts = edits + 1
+def pieces(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter, segment, shift) of the pieces of a line that may be a segment of a line as long or shorter. Segment i
+    of edits + 1 in a line of n units begins at i * n div (edits + 1); all pieces lie within a line of 2 * edits + 1 units."""
+    if 2 * edits >= min(WORDS, LEAST_CHARS):
+        raise ValueError("too many edits for the shortest lines")
     out = []
     for less in range(edits + 1):
-        length = n - less
-        base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-        for i in range(parts):
-            size = base + F.when(F.lit(i) >= parts - extra, 1).otherwise(0)
-            start = base * i + F.greatest(F.lit(0), i - (parts - extra))
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = start + shift
-                key = F.xxhash64(length.cast("int"), F.lit(i), F.substring(content, at + 1, size))
-                out.append(F.when((at >= 0) & (at + size <= n) & (size > 0), key))
-    return F.array_compact(F.array_distinct(F.array(*out)))
-
-
-def triples(content: F.Column) -> F.Column:
-    """Hashes of the word triples, ascending, each once."""
-    words = F.transform(F.split(content, " ", -1), lambda w: F.xxhash64(w))
-    triple = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 2), F.arrays_zip(F.slice(w, F.lit(2), F.size(w) - 2).alias("b"), F.slice(w, F.lit(3), F.size(w) - 2).alias("c")), lambda a, bc: F.xxhash64(a, bc))
-    # a let-binding: else each use would split anew
-    bound = F.transform(F.array(words), lambda w: F.when(F.size(w) > 2, F.array_sort(F.array_distinct(triple(w)))).otherwise(F.array().cast("array<bigint>")))
-    return F.element_at(bound, 1)
+        for i in range(edits + 1):
+            out += [(less, i, shift) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return out
+
+
+def with_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """lines with `keys`, of the words of a line if it has WORDS or more, else of its characters."""
+    # one small expression for all pieces: twelve in a row make a method that the JVM does not compile
+    parts = edits + 1
+    listed = ", ".join(f"named_struct('less', {less}, 'i', {i}, 'shift', {shift})" for less, i, shift in pieces(edits))
+
+    def each(unit: str, n: str, piece: str) -> str:
+        start, end = f"p.i * ({n} - p.less) div {parts}", f"(p.i + 1) * ({n} - p.less) div {parts}"
+        return f"transform(array({listed}), p -> xxhash64('{unit}', {n} - p.less, p.i, {piece}CAST({start} + p.shift + 1 AS INT), CAST({end} - {start} AS INT))))"
+
+    split = lines.withColumns({"words": F.transform(F.split("content", " ", -1), lambda w: F.xxhash64(w)), "chars": F.char_length("content")})
+    by_words, by_characters = each("words", "size(words)", "slice(words, "), each("characters", "chars", "substring(content, ")
+    return split.withColumn("keys", F.when(_by_word(F.col("content")), F.expr(by_words)).otherwise(F.expr(by_characters)))
 
 
-def word_keys(triples: F.Column, n: F.Column, edits: F.Column) -> F.Column:
-    """Keys of a line of n characters that may be within `edits` edits of another; none for MAX_EDITS or less."""
-    some = F.slice(triples, F.lit(1), 4 * edits + 1)
-    steps = F.sequence(F.floor(n / STEP), F.floor((n + edits) / STEP))
-    out = F.flatten(F.transform(some, lambda t: F.transform(steps, lambda k: F.xxhash64(F.lit("words"), t, k))))
-    return F.when(edits > MAX_EDITS, out).otherwise(F.array().cast("array<bigint>"))
+def _by_word(content: F.Column) -> F.Column:
+    return F.octet_length(content) - F.octet_length(F.replace(content, F.lit(" "), F.lit(""))) >= WORDS - 1
 
 
-def _counts(content: F.Column, letters: str) -> F.Column:
+def units(content: F.Column) -> F.Column:
+    """The words or characters that the edits of a line count."""
+    return F.when(_by_word(content), F.split(content, " ", -1)).otherwise(characters(content))
+
+
+def _letters(content: F.Column, letters: str) -> F.Column:
     """Counts of letters, ten bits each, saturating."""
     packed = F.lit(0).cast("long")
     for letter in letters:
@@ -91,6 +95,14 @@ def _counts(content: F.Column, letters: str) -> F.Column:
     return packed
 
 
+def _words(content: F.Column, side: int, fields: int) -> F.Column:
+    """Counts of the words of either half of the hashes by their hash, ten bits each; null where a count might not fit."""
+    hashes = F.transform(F.split(content, " ", -1), lambda w: F.xxhash64(w))
+    one = lambda h: F.element_at(F.array(*(F.lit(1 << 10 * k).cast("long") for k in range(fields))), (F.pmod(F.shiftright(h, 1), F.lit(fields)) + 1).cast("int"))
+    mine = lambda h: h.bitwiseAND(F.lit(1).cast("long")) == side
+    return F.when(F.size(hashes) < 1024, F.aggregate(F.filter(hashes, mine), F.lit(0).cast("long"), lambda total, h: total + one(h)))
+
+
 def _apart(a: F.Column, b: F.Column, letters: int) -> F.Column:
     """Sum of the differences of packed counts."""
     field = lambda c, k: F.shiftright(c, 10 * k).bitwiseAND(F.lit(1023))
@@ -161,83 +173,100 @@ def characters(c: F.Column) -> F.Column:
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, by_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, by_text: bool = False) -> DataFrame:
     """doc_id, exact and near: numbers of the lines that equal, or nearly equal, a line before them; one row for each
-    document that has such lines. With `edits`, that many for lines of any length. With by_text, one row
-    for each doc_id and row (hash of the text)."""
+    document that has such lines. With by_text, one row for each doc_id and row (hash of the text)."""
     lines = _hashed(docs, id_col, text_col)
-    kinds = lines.groupBy("h1", "h2", "content").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("first"), F.count("*").alias("n"))
-    kinds = common.saved(kinds.withColumn("chars", F.char_length("content")), "lines")
-
-    found = keys(F.col("content"), F.col("chars"), edits or MAX_EDITS)
-    if edits is None:
-        entries = kinds.select("h1", "chars", found.alias("found"), triples(F.col("content")).alias("triples"))
-        entries = entries.withColumn("edits", F.greatest(F.lit(MAX_EDITS), F.floor(F.size("triples") / WORDS_PER_EDIT).cast("int")))
-        entries = entries.select(F.explode(F.concat("found", word_keys(F.col("triples"), F.col("chars"), F.col("edits")))).alias("key"), "h1", "edits")
-    else:
-        entries = kinds.select(F.explode(found).alias("key"), "h1", F.lit(edits).alias("edits"))
+    place = _place(F.col("doc_id"), F.col("line"))
+    # equal lines have equal keys: as a part of the group they are folded before the shuffle
+    kinds = with_keys(lines, edits).groupBy("h1", "h2", "keys").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    kinds = common.saved(kinds, "lines")
+
     by_key = Window.partitionBy("key")
-    met = entries.select("key", "h1", "edits", F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi")).where("lo <> hi")
-    met = common.saved(met.select("key", "h1", "edits").distinct(), "met")
-    half = len(_LETTERS) // 2
-    # both sides grow with the corpus here and below: merged at every size, so that small inputs run the plan of large ones
-    some = common.saved(
-        kinds.join(met.select(F.col("h1").alias("_h")).distinct().hint("merge"), F.col("h1") == F.col("_h"), "left_semi")
-        .select("h1", "h2", "first", "content", "chars", _counts(F.col("content"), _LETTERS[:half]).alias("c1"), _counts(F.col("content"), _LETTERS[half:]).alias("c2")),
-        "candidates",
+    entries = kinds.select(F.explode("keys").alias("key"), "h1")
+    met = entries.select("key", "h1", F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi")).where("lo <> hi")
+    met = common.saved(met.select("key", "h1").distinct(), "met")
+    some = common.saved(_fetched(lines, met, place), "candidates")
+    late_ones = common.saved(_near(met, some, edits), "late").withColumn("late", F.lit(True))
+
+    flagged = kinds.select("h1", "h2", "first", "n").join(late_ones.hint("merge"), ["h1", "h2"], "left").where("n > 1 OR late")
+    flagged = flagged.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    whose = ["doc_id", "row"] if by_text else ["doc_id"]
+    places = lines.select(*whose, "line", "h1", "h2").join(flagged.hint("merge"), ["h1", "h2"])
+    again = place != F.col("first")
+    return places.where(again | F.col("late")).groupBy(*whose).agg(
+        F.array_sort(F.collect_set(F.when(again, F.col("line")))).alias("exact"),
+        F.array_sort(F.collect_set(F.when(~again, F.col("line")))).alias("near"),
     )
-    facts = ("first", "h1", "chars", "edits", "c1", "c2")
-    sides = met.join(some.select("h1", "first", "chars", "c1", "c2"), "h1").select("key", *facts)
+
+
+def _fetched(lines: DataFrame, met: DataFrame, place: F.Column) -> DataFrame:
+    """h1, h2, first, content, n (its words or characters) and counts of the lines that share a key with another."""
+    wanted = met.select(F.col("h1").alias("_h")).distinct()
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted.hint("merge")
+    some = lines.join(side, F.col("h1") == F.col("_h"), "left_semi").groupBy("h1", "h2", "content").agg(F.min(place).alias("first"))
+    text, half = F.col("content"), len(_LETTERS) // 2
+    by_word = _by_word(text)
+    counts = [F.when(by_word, _words(text, k, half)).otherwise(_letters(text, _LETTERS[k * half : (k + 1) * half])).alias(f"c{k + 1}") for k in (0, 1)]
+    return some.select("h1", "h2", "first", "content", by_word.alias("by_word"), F.size(units(text)).alias("n"), *counts)
+
+
+def _near(met: DataFrame, some: DataFrame, edits: int) -> DataFrame:
+    """h1 and h2 of the lines that are near an earlier one. Both sides of all joins grow with the corpus: they are merged at
+    every size, so that small inputs run the plan of large ones."""
+    facts = ("first", "h1", "by_word", "n", "c1", "c2")
+    sides = met.join(some.select(*facts).hint("merge"), "h1").select("key", *facts)
     side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in ("key", *facts)))
-    limit = F.least("edits_a", "edits_b")
-    near = (F.abs(F.col("chars_a") - F.col("chars_b")) <= limit) & (_apart(F.col("c1_a"), F.col("c1_b"), half) + _apart(F.col("c2_a"), F.col("c2_b"), half) <= 2 * limit)
-    text = lambda x: some.select(F.col("h1").alias(f"_h_{x}"), F.col("first").alias(f"_f_{x}"), F.col("h2").alias(f"h2_{x}"), F.col("content").alias(f"t_{x}"))
+    half = len(_LETTERS) // 2
+    apart = _apart(F.col("c1_a"), F.col("c1_b"), half) + _apart(F.col("c2_a"), F.col("c2_b"), half)
+    may = (F.col("by_word_a") == F.col("by_word_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.coalesce(apart, F.lit(0)) <= 2 * edits)
+    earlier = (F.col("key_a") == F.col("key_b")) & (F.col("first_a") < F.col("first_b"))
+    text = lambda x: some.select(F.col("h1").alias(f"_h_{x}"), F.col("first").alias(f"_f_{x}"), F.col("h2").alias(f"h2_{x}"), F.col("content").alias(f"t_{x}")).hint("merge")
+    own = lambda x: (F.col(f"h1_{x}") == F.col(f"_h_{x}")) & (F.col(f"first_{x}") == F.col(f"_f_{x}"))
 
     def late(a: DataFrame, b: DataFrame) -> DataFrame:
         """h1, h2 and first of the lines of b that are near an earlier one of a."""
-        pairs = side(a, "a").join(side(b, "b"), (F.col("key_a") == F.col("key_b")) & (F.col("first_a") < F.col("first_b")) & near)
-        pairs = pairs.select("h1_a", "first_a", "h1_b", "first_b", limit.alias("limit")).distinct()
-        joined = pairs.join(text("a"), (F.col("h1_a") == F.col("_h_a")) & (F.col("first_a") == F.col("_f_a"))).join(text("b"), (F.col("h1_b") == F.col("_h_b")) & (F.col("first_b") == F.col("_f_b")))
-        few = edits or MAX_EDITS
-        exact = F.when(F.col("limit") > few, True).otherwise(edit_distance(characters(F.col("t_a")), characters(F.col("t_b")), few) <= F.col("limit"))
-        close = joined.where("levenshtein(t_a, t_b, `limit`) >= 0").where(exact)
+        pairs = side(a, "a").hint("merge").join(side(b, "b"), earlier & may)
+        pairs = pairs.select("h1_a", "first_a", "h1_b", "first_b").distinct()
+        joined = pairs.join(text("a"), own("a")).join(text("b"), own("b"))
+        close = joined.where(edit_distance(units(F.col("t_a")), units(F.col("t_b")), edits) <= edits)
         return close.select(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2"), F.col("first_b").alias("first")).distinct()
 
     # a group of near lines is linear in the first round, and few of it are left for the second
     heads = sides.groupBy("key").agg(F.min(F.struct(*facts)).alias("head")).select("key", "head.*")
     soon = common.saved(late(heads, sides), "soon")
-    rest = sides.join(soon.select(F.col("h1").alias("_h"), F.col("first").alias("_f")).hint("merge"), (F.col("h1") == F.col("_h")) & (F.col("first") == F.col("_f")), "left_anti")
-    late_ones = soon.union(late(sides, rest)).select("h1", "h2").distinct().withColumn("late", F.lit(True))
-
-    flagged = kinds.select("h1", "h2", "first", "n").join(late_ones, ["h1", "h2"], "left").where("n > 1 OR late")
-    flagged = flagged.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    whose = ["doc_id", "row"] if by_text else ["doc_id"]
-    places = lines.select(*whose, "line", "h1", "h2").join(flagged.hint("merge"), ["h1", "h2"])
-    again = _place(F.col("doc_id"), F.col("line")) != F.col("first")
-    gone = places.where(again | F.col("late")).groupBy(*whose).agg(
-        F.array_sort(F.collect_set(F.when(again, F.col("line")))).alias("exact"),
-        F.array_sort(F.collect_set(F.when(~again, F.col("line")))).alias("near"),
-    )
-    return gone
+    known = soon.select(F.col("h1").alias("_h"), F.col("first").alias("_f")).hint("merge")
+    rest = sides.join(known, (F.col("h1") == F.col("_h")) & (F.col("first") == F.col("_f")), "left_anti")
+    return soon.unionByName(late(sides, rest)).select("h1", "h2").distinct()
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     gone = removed(docs).withColumnRenamed("doc_id", "_id")
-    out = docs.select("doc_id", F.size(F.split(common.text_column(docs, "text"), "\n", -1)).cast("long").alias("n_lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    n_lines = F.size(F.split(common.text_column(docs, "text"), "\n", -1)).cast("long")
+    out = docs.select("doc_id", n_lines.alias("n_lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     some = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     numbers = F.array_join(F.array_sort(F.concat("exact", "near")), ",")
     return out.select("doc_id", "n_lines", some("exact").alias("n_exact"), some("near").alias("n_near"), F.coalesce(numbers, F.lit("")).alias("removed_lines"))
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """docs without the removed lines, and without the documents of which no line with content is left."""
-    gone = removed(docs, id_col, text_col, edits, by_text=True).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.concat("exact", "near").alias("_gone"))
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(common.text_column(docs, text_col)) == F.col("_row")), "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    out = out.where(F.col("_gone").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*((F.col("_left").alias(c) if c == text_col else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.char_length("_left")).cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns))
+    names = docs.columns
+    gone = removed(docs, id_col, text_col, edits, by_text=True)
+    gone = gone.select(F.col("doc_id").alias("_ld_id"), F.col("row").alias("_ld_row"), F.concat("exact", "near").alias("_ld_gone"))
+    text, cut = F.col(text_col).cast("string"), F.col("_ld_gone").isNotNull()
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col("_ld_id")) & (F.xxhash64(common.text_column(docs, text_col)) == F.col("_ld_row"))
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_ld_gone", i))
+    out = docs.join(gone, mine, "left").withColumn("_ld_left", F.when(cut, F.array_join(kept, "\n")).otherwise(text))
+    out = out.where(~cut | F.col("_ld_left").rlike(r"[^\x20\x09-\x0D]"))
+    columns = {text_col: F.col("_ld_left")}
+    if text_col == "text" and "n_chars" in names:
+        columns["n_chars"] = F.when(cut, F.char_length("_ld_left")).otherwise(F.col("n_chars")).cast("long")
+    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in names))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cleaned(docs, edits=MAX_EDITS)  # the edits that the tests of the pipeline state
+    """The documents without the lines that stand earlier in the corpus, by `cleaned`: null and empty texts stay, documents
+    that lose all content go, n_chars follows the text, and the module's other cases hold."""
+    return cleaned(docs)
