@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch of documents. Batches are cut further by bytes where numpy works on them.
 ROWS_PER_BATCH = 512
+_MADE: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,17 +24,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the cluster names none."""
+    """The folder that driver and executors share. In local mode, where both are one process, a temporary one is set if
+    none is named; on a cluster, a missing name is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes what this driver has written into the shared folder. DataFrames that read it cannot be used after that."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -46,11 +62,10 @@ def text_column(df: DataFrame, text_col: str) -> "F.Column":
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column holds about `most` bytes in each; a longer value stands alone."""
     for batch in batches:
-        lengths = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]) if batch.num_rows else np.zeros(0)
-        ends = np.cumsum(lengths)
+        ends = bytes_of(batch.column(column))[1][1:] if batch.num_rows else np.zeros(0, np.int64)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
@@ -82,42 +97,57 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose powers are held at once: a power is one of a table's, times one of the chunk's.
+_CHUNK = 1 << 16
+
+
 class Rolling:
     """Polynomial hashes of byte ranges: one prefix sum, then any range in constant time."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        base, inverse, table = _rolling(seed)
-        self.seed = seed
+        base, self.inverse, table = _rolling(seed)
+        self.seed, n = seed, len(data)
+        self.prefix = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            self.inverse = _powers(inverse, len(data) + 1)
-            prefix = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(table[data] * _powers(base, len(data) + 1)[: len(data)], out=prefix[1:])
-        self.prefix = prefix
+            for k in range(0, n, _CHUNK):
+                part = table[data[k : k + _CHUNK]]
+                part *= _powers(base)[: len(part)]
+                part *= np.uint64(pow(base, k, 2**64))
+                np.cumsum(part, out=part)
+                part += self.prefix[k]
+                self.prefix[k + 1 : k + 1 + len(part)] = part
+            self.high = np.array([pow(self.inverse, k, 2**64) for k in range(0, n + 1, _CHUNK)], np.uint64)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _ODD, self.seed)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
+            out = self.prefix[end]
+            out -= self.prefix[start]
+            out *= _powers(self.inverse)[start & (_CHUNK - 1)]
+            if len(self.high) > 1:
+                out *= self.high[start >> 16]
+            return mix(out + (end - start).astype(np.uint64) * _ODD, self.seed)
+
+    def windows(self, length: int) -> np.ndarray:
+        """of() for each range of this length, in the order of their starts."""
         with np.errstate(over="ignore"):
-            have[1:] = np.uint64(base)
-            done = 1
-            while done < size:  # doubling keeps it vectorised
-                take = min(done, size - done)
-                have[done : done + take] = have[:take] * np.uint64(pow(base, done, 2**64))
-                done += take
-        _POWERS[base] = have
-    return have[:n]
+            out = self.prefix[length:] - self.prefix[: max(0, len(self.prefix) - length)]
+            for j, k in enumerate(range(0, len(out), _CHUNK)):
+                part = out[k : k + _CHUNK]
+                part *= _powers(self.inverse)[: len(part)]
+                part *= self.high[j]
+                part[:] = mix(part + np.uint64(length) * _ODD, self.seed)
+            return out
+
+
+@lru_cache(maxsize=32)
+def _powers(base: int) -> np.ndarray:
+    out = np.ones(_CHUNK, np.uint64)
+    with np.errstate(over="ignore"):
+        out[1:] = np.uint64(base)
+        return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=16)
 def _rolling(seed: int) -> tuple[int, int, np.ndarray]:
     base = int(mix(np.array([seed * 2 + 11], np.uint64))[0]) | 1
     return base, pow(base, -1, 2**64), mix(np.arange(256, dtype=np.uint64), seed + 77)
