@@ -5,8 +5,9 @@ the automaton, which names the longest token at each position in one pass. The e
 that it can follow the token before it (memoised: the merges of the two tokens' bytes give just these two), else tries
 the next shorter one, else goes back a token. This gives the ids that merging by rank gives, in time linear in the length.
 
-Cases: a null or empty text has no ids and decodes to no bytes. Repeated rows are encoded each. Other columns are kept
-by name as they are; the two new columns' names are parameters, so that they need not clash.
+Cases: a null or empty text has no ids and decodes to no bytes; null ids too. Very long texts are encoded whole, in time
+linear in their length. Repeated rows are encoded each. There are no ties: ranks differ. An empty table gives no rows.
+Other columns are kept by name as they are; the two new columns' names are parameters, so that they need not clash.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Distinct pre-tokens, chunks and pairs that a Python worker remembers each; beyond it starts anew.
-REMEMBERED = 400_000
+#: Distinct pre-tokens, chunks and pairs that a Python worker remembers each, in two generations: when the young one is full
+#: it becomes the old one, and what is used again comes back from there.
+REMEMBERED = 150_000
 
 
 class Coder:
@@ -135,9 +137,10 @@ class Coder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        for known in (self.words, self.chunks, self.fits, self.shorter):
-            if len(known) > REMEMBERED:
-                known.clear()
+        self.words.age()
+        self.chunks.age()
+        if len(self.fits) > 2 * REMEMBERED:
+            self.fits.clear()
         first, *rest = text.split(" ")
         try:
             if not first or first[-1].isspace():
@@ -147,9 +150,6 @@ class Coder:
         except _Unsafe:
             return b"".join(map(self.words.__getitem__, self.find(text)))
 
-    def bytes(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 class _Unsafe(Exception):
     """A text with runs of white space, which is not cut at its spaces."""
@@ -161,18 +161,39 @@ class _Known(dict):
     def __init__(self, make, longest: int):
         super().__init__()
         self.make, self.longest = make, longest
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             self[key] = value
         return value
 
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
+def ranked(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+
 
 @lru_cache(maxsize=2)
 def coder(content: bytes, pattern: str) -> Coder:
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
-    return Coder(ranks, pattern)
+    return Coder(ranked(content), pattern)
+
+
+@lru_cache(maxsize=2)
+def pieces(content: bytes) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = ranked(content)
+    out = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return out
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -192,7 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = coder(shared.value, pattern)
-        for batch in batches:
+        for batch in common.slices(batches, "_text", 2 << 20):
             ids = [known.ids(t) if t else b"" for t in batch.column("_text").to_pylist()]
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*kept, ids_col, count_col])
@@ -200,16 +221,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     return docs.select(*kept, common.text_column(docs, text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """encoded with bytes_col (binary), what ids_col stands for."""
     shared = vocabulary(encoded.sparkSession, path)
     kept = [c for c in encoded.columns if c != bytes_col]
     schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = coder(shared.value, pattern)
+        piece = pieces(shared.value).__getitem__
         for batch in batches:
-            out = [known.bytes(x) if x else b"" for x in batch.column(ids_col).to_pylist()]
+            out = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, bytes_col])
 
     return encoded.select(*kept).mapInArrow(run, schema)
@@ -217,7 +238,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", by
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to."""
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = decode(encode(docs, path, pattern), path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
@@ -226,6 +247,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of each document; the module's cases hold."""
     import public_tokenizers
 
     return digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
