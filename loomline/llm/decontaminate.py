@@ -9,9 +9,11 @@ contaminated.
 A tile's words all lie under seeds, so only those parts of a document take part. The benchmark's seeds are broadcast if
 there are at most BROADCAST_SEEDS; beyond that, seeds are joined by a shuffle, with the same tiling after it.
 
-Cases: null or empty texts and items match nothing, nor do items of fewer than MATCH words. Repeated items are tested
-each; repeated rows give repeated pairs if broadcast, and are tiled together under their id if joined. An empty benchmark
-or table gives no pairs. Other columns are ignored, or kept where documents are returned.
+Cases: null or empty texts and items match nothing, nor do items of fewer than MATCH words; items without an id are left
+out. Repeated rows and items are tested each and give repeated pairs, texts of one id are kept apart, and rows without an
+id give pairs without one; both ways of joining give the same rows. Very long texts are tested whole. Of equally long
+matches the first in the item, then in the text, is marked. An empty benchmark or table gives no pairs. Other columns are
+ignored, or kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -186,7 +188,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     small = _bench(bench, item_col, item_text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_column(docs, text_col).alias("_text"))
     if small is None:
-        return _joined(source, bench.select(F.col(item_col).cast("long").alias("item_id"), common.text_column(bench, item_text_col).alias("_text")))
+        return _joined(source, bench.select(F.col(item_col).cast("long").alias("item_id"), common.text_column(bench, item_text_col).alias("_text"))).drop("key")
     shared = docs.sparkSession.sparkContext.broadcast(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +203,12 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: seeds meet by a shuffle."""
+    """The same for a benchmark of any size, with `key`, that of keyed(): seeds meet by a shuffle."""
+    docs, items = keyed(docs, "doc_id", "key"), keyed(items.where("item_id IS NOT NULL"), "item_id", "item")
 
     def seeds(key: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches, "_text", 2 << 20):
+            for batch in common.slices(batches, "_text"):
                 words, owner = worded(batch.column("_text").to_pylist())
                 h, d, at = seeds_of(words, owner)
                 at = at - np.searchsorted(owner, np.arange(batch.num_rows))[d]
@@ -214,21 +217,33 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
         return run
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "_text", 2 << 20):
+        for batch in common.slices(batches, "_text"):
             h, owner = worded(batch.column("_text").to_pylist())
             cut = np.split((h >> np.uint64(3)).astype(np.int64), np.searchsorted(owner, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([c.tolist() for c in cut], pa.list_(pa.int64()))], ["item_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([c.tolist() for c in cut], pa.list_(pa.int64()))], ["item", "words"])
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            matched = [covered(r["words"], [(h["at"], h["place"]) for h in r["hits"]]) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in ("doc_id", "item_id")] + [pa.array([len(r["words"]) for r in rows], pa.int64()), pa.array(matched, pa.int64()), pa.array([m / len(r["words"]) for r, m in zip(rows, matched, strict=True)], pa.float64())], ["doc_id", "item_id", "n_words", "n_matched", "coverage"])
+            n = [len(r["words"]) for r in rows]
+            m = [covered(r["words"], [(h["at"], h["place"]) for h in r["hits"]]) for r in rows]
+            numbers = [pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array([x / y for x, y in zip(m, n, strict=True)], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), *numbers], ["key", "item", "n_words", "n_matched", "coverage"])
+
+    # rows of one id and text are tiled once, and then stand for each of them
+    texts = items.dropDuplicates(["item"])
+    own = texts.select("item", "_text").mapInArrow(seeds("item"), "item long, seed long, at long").withColumnRenamed("at", "place")
+    met = docs.select("key", "_text").mapInArrow(seeds("key"), "key long, seed long, at long").join(own, "seed")
+    hits = met.groupBy("key", "item").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
+    pairs = hits.join(texts.select("item", "_text").mapInArrow(words, "item long, words array<long>"), "item")
+    pairs = pairs.mapInArrow(tiled, "key long, item long, n_words long, n_matched long, coverage double").where(F.col("coverage") >= COVERAGE)
+    whole = pairs.join(items.select("item", "item_id"), "item").join(docs.select("key", "doc_id"), "key")
+    return whole.select("doc_id", "item_id", "n_words", "n_matched", "coverage", "key")
+
 
-    items = items.where("item_id IS NOT NULL")
-    own = items.mapInArrow(seeds("item_id"), "item_id long, seed long, at long").withColumnRenamed("at", "place")
-    hits = docs.mapInArrow(seeds("doc_id"), "doc_id long, seed long, at long").join(own, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
-    return hits.join(items.mapInArrow(words, "item_id long, words array<long>"), "item_id").mapInArrow(tiled, f"doc_id long, {_PAIR}").where(F.col("coverage") >= COVERAGE)
+def keyed(rows: DataFrame, id_col: str, key: str) -> DataFrame:
+    """rows (with _text) and a hash of id and text."""
+    return rows.withColumn(key, F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col("_text")))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,11 +252,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that cover no benchmark item."""
+    """The documents that cover no benchmark item: null and empty texts stay, repeated rows stay or go together, rows without
+    an id are judged like others, other columns stay, and an empty table gives no rows."""
     bench = common.read(spark, sf_dir, "benchmark")
     small = _bench(bench, "item_id", "text")
     if small is None:
-        return docs.join(contaminated(docs, bench).select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs, "text").alias("_text"))
+        items = bench.select(F.col("item_id").cast("long").alias("item_id"), common.text_column(bench, "text").alias("_text"))
+        gone = _joined(source, items).select(F.col("key").alias("_gone")).distinct()
+        key = F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"].cast("long"), common.text_column(docs, "text"))
+        return docs.join(gone, key == F.col("_gone"), "left_anti")
     shared, columns = spark.sparkContext.broadcast(small), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,4 +271,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             clean = [k for k in range(batch.num_rows) if not any(m >= COVERAGE * n for _, n, m in found.get(k, ()))]
             yield batch.select(columns).take(pa.array(clean, pa.int64()))
 
-    return docs.select(*docs.columns, common.text_column(docs, "text").alias("_text")).mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.withColumn("_text", common.text_column(docs, "text")).mapInArrow(run, T.StructType(docs.schema.fields))

@@ -13,7 +13,8 @@ repeat; their hashes within the anchor decide. 3. Anchors with over MOST_CONTEXT
 task: their windows' hashes are counted by Spark instead. 4. Repeated windows go back to all occurrences of their context
 and are merged by document.
 
-Cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing. Strings that overlap in one document
+Cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; long texts are worked on whole, one of
+over 256 MB is an error. Strings that overlap in one document
 count. Repeated rows are each other's copies, also under one id. Ties of hashes go to the first place. Empty tables give
 no rows. Other columns are ignored.
 """
@@ -44,10 +45,12 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     rolling = common.Rolling(data, 31)
     span = LENGTH - GRAM + 1
     empty = np.zeros(0, np.int64)
+    if len(data) >> _PLACE:
+        raise ValueError(f"a text of over {1 << _PLACE} bytes")
     if len(data) < LENGTH:
         return empty, empty.astype(np.uint64), empty, empty, empty, rolling
     at = np.arange(len(data) - GRAM + 1)
-    grams = rolling.of(at, at + GRAM)
+    grams = rolling.windows(GRAM)
     packed = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | at.astype(np.uint64)
     # least of every run of `span`: least to the end of a block of `span`, and least from the start of the next
     padded = np.append(packed, np.full(-len(packed) % span, np.iinfo(np.uint64).max, np.uint64)).reshape(-1, span)
@@ -120,10 +123,13 @@ def repeated_windows(anchors: np.ndarray, leads: np.ndarray, counts: np.ndarray,
     maybe = np.flatnonzero(shared[first_place[of] + from_ - low[of]] >= to - from_)
     begin = base[of[maybe]] + window[maybe]
     with np.errstate(over="ignore"):
-        key = common.mix(rolling.of(begin, begin + LENGTH) ^ common.mix(second.of(begin, begin + LENGTH), 36) ^ common.mix(anchors[of[maybe]] + offset[maybe].astype(np.uint64), 37), 38)
-    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+        offset_of = common.mix(anchors[of[maybe]] + offset[maybe].astype(np.uint64), 37)
+        h1, h2 = (common.mix(r.of(begin, begin + LENGTH) ^ offset_of, 38) for r in (rolling, second))
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    group = np.cumsum(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) - 1 if len(order) else order
     out = np.zeros(len(of), bool)
-    out[maybe] = times[back] > 1
+    out[maybe[order]] = np.bincount(group)[group] > 1 if len(order) else False
     return out
 
 

@@ -8,6 +8,8 @@ with the smallest page id is the response and the others revisit it.
 The digest is the join key, so that no payload is shuffled twice; a payload that a third of all pages share is written
 once, and the light header rows of a hot digest are what skewed joins split.
 
+A record's id is made of page id and digest, and its date is the caller's (pages have none of their own).
+
 Cases: a null html is an empty payload; a null url gives an empty target; rows without a page id come last in the order
 and refer to nothing; repeated page ids give a record each (the first response among equals is any one of them). Pages
 may be empty, and other columns are ignored. A payload that does not match its digest fails the read.
@@ -24,7 +26,7 @@ SMALLEST_REVISIT = 100
 _CRLF = "\r\n"
 
 
-def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
     source = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
@@ -34,23 +36,24 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     # one row a digest; partial aggregation folds a hot digest before the shuffle
     least = light.groupBy("digest").agg(F.min("page_id").alias("least"))
     typed = light.join(least, "digest").withColumn("revisits", (F.col("length") >= SMALLEST_REVISIT) & (F.col("page_id") > F.col("least")))
-    headers = typed.select("page_id", "digest", _header().cast("binary").alias("header"))
+    headers = typed.select("page_id", "digest", _header(date).cast("binary").alias("header"))
     headers.write.parquet(f"{folder}/headers")
     source.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{folder}/payloads")
 
 
-def _header() -> F.Column:
+def _header(date: str) -> F.Column:
     def line(name: str, *value: F.Column) -> F.Column:
         return F.concat(F.lit(f"{name}: "), *value, F.lit(_CRLF))
 
     revisits = F.coalesce(F.col("revisits"), F.lit(False))
     # a line break within a URL would end the header line
     target = F.regexp_replace("url", r"[\r\n]", "")
-    record_id = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    record_id = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(":"), F.col("digest"), F.lit(">"))
     return F.concat(
         F.lit(f"WARC/1.1{_CRLF}"),
         line("WARC-Type", F.when(revisits, "revisit").otherwise("response")),
         line("WARC-Record-ID", record_id(F.col("page_id"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", target),
         F.when(revisits, F.concat(line("WARC-Refers-To", record_id(F.col("least"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
@@ -67,7 +70,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     payloads = spark.read.parquet(f"{folder}/payloads").withColumnRenamed("digest", "stored").withColumn("computed", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     text = F.decode("header", "UTF-8")
     field = lambda name: F.nullif(F.regexp_extract(F.col("_text"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+):", 1).try_cast("long")
     parsed = headers.select("header", text.alias("_text")).select(
         "header",
         number(field("WARC-Record-ID")).alias("page_id"),

@@ -71,7 +71,7 @@ def measures(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
 
 
-def quality(docs, least_docs=50, share=0.05):
+def quality(docs, least_docs=50, share=0.05, most_docs=10_000):
     """{doc_id: (kept, cleaned text)}; docs: (doc_id, text, host)."""
     fold = lambda line: re.sub("[0-9]", "0", line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(LOWER))
     holders, hosts = collections.defaultdict(set), collections.defaultdict(set)
@@ -82,7 +82,7 @@ def quality(docs, least_docs=50, share=0.05):
                 holders[host, fold(line)].add(text or "")
     out = {}
     for d, text, host in docs:
-        limit = max(least_docs, share * len(hosts[host]))
+        limit = min(most_docs, max(least_docs, share * len(hosts[host])))
         lines = [(line, bool(WORD.search(line)) and len(holders[host, fold(line)]) > limit) for line in (text or "").split("\n")]
         n_words, *_, repeated = measures(text)
         left = sum(len(WORD.findall(line)) for line, gone in lines if not gone)
@@ -91,16 +91,23 @@ def quality(docs, least_docs=50, share=0.05):
     return out
 
 
-def lines_removed(docs, edits=1, least=20):
-    """{doc_id: (exact, near)} for documents with such lines."""
+def units(line, words=12):
+    return line.split(" ") if line.count(" ") >= words - 1 else list(line)
+
+
+def lines_removed(docs, edits=2, least=20):
+    """{doc_id: (exact, near)} for documents with such lines. Lines of twelve words or more are compared by words."""
     places = [(d, i, line) for d, t in sorted(docs) for i, line in enumerate((t or "").split("\n")) if len(line) >= least]
     first = {}
     for d, i, line in places:
         first.setdefault(line, (d, i))
     ordered, near = sorted(first, key=first.get), set()
-    for k, line in enumerate(ordered):
-        if any(abs(len(line) - len(o)) <= edits and sum((collections.Counter(line) - collections.Counter(o)).values()) <= edits and levenshtein(line, o) <= edits for o in ordered[:k]):
-            near.add(line)
+    parts = [(line.count(" ") >= 11, units(line), collections.Counter(units(line))) for line in ordered]
+    for k, (kind, own, bag) in enumerate(parts):
+        for other_kind, other, other_bag in parts[:k]:
+            if kind == other_kind and abs(len(own) - len(other)) <= edits and sum((bag - other_bag).values()) <= edits and levenshtein(own, other) <= edits:
+                near.add(ordered[k])
+                break
     out = {}
     for d, i, line in places:
         if first[line] != (d, i):

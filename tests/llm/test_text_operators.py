@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomline.llm import bpe, decontaminate, line_dedup, pii, quality_model, quality_rules, rans, warc
+from loomline.llm import bpe, common, decontaminate, line_dedup, pii, quality_model, quality_rules, rans, warc
 
 from . import brute
 
@@ -40,7 +40,7 @@ def test_bpe_equals_tiktoken(spark):
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = odd_texts()
     docs = spark.createDataFrame([(i, t, "x", b"y") for i, t in enumerate([*texts, texts[5]])], "doc_id long, text string, n_tokens string, bytes binary").repartition(3)
-    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
+    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()
     assert len(both) == len(texts) + 1
     for r in both:
         text = [*texts, texts[5]][r["doc_id"]] or ""
@@ -52,8 +52,7 @@ def test_bpe_equals_tiktoken(spark):
 def test_rans_round_trip(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = odd_texts(seed=2)
+    texts = [*odd_texts(seed=2), "a<|endoftext|>b <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>"]
     docs = spark.createDataFrame([(7 * i % 1009, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
     rans.write_tokens(docs, path, str(tmp_path / "f"), end_id=1)
     got = {r["doc_id"]: (r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in rans.read_tokens(spark, str(tmp_path / "f")).collect()}
@@ -99,19 +98,34 @@ def test_archive(spark, tmp_path):
         warc.read_archive(spark, str(tmp_path / "b")).collect()
 
 
-def test_quality_rules(spark):
+def test_quality_rules(spark, monkeypatch):
     docs = [(i, f"Unique words number{i} alpha beta gamma delta epsilon zeta eta theta {i}\nSubscribe to our  newsletter 12 today and every day please now yes", "h") for i in range(70)]
     docs += [(100 + i, "Subscribe to our  newsletter 99 today and every day please now yes\nshort", "h") for i in range(5)]
     docs += [(200, None, None), (201, "", "h"), (202, "a b c d e f a b c d e f a b c d e", "h"), (203, "é é\n é é\nb\nb\n\n", None), (204, "Subscribe to our  newsletter 12 today and every day please now yes\nbut on another host it stays here", "k")]
     docs.append(docs[0])
-    got = quality_rules.judged(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, source string, kept string").repartition(3)).collect()
+    table = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, source string, kept string").repartition(3)
+    got = quality_rules.judged(table).collect()
     want = brute.quality(docs)
     assert len(got) == len(docs)
     for r in got:
         text = next(t for d, t, _ in docs if d == r["doc_id"])
         assert tuple(r[m] for m in quality_rules.MEASURES) == brute.measures(text)
-        assert (r["kept"], r["cleaned"]) == (want[r["doc_id"]][0], want[r["doc_id"]][1] or "")
+        assert (r["kept"], r["cleaned"]) == want[r["doc_id"]]
     assert {r["doc_id"]: r["kept"] for r in got}[0] and not {r["doc_id"]: r["kept"] for r in got}[100]
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", 0)
+    key = lambda r: (str(r["doc_id"]), r["kept"], r["n_left"], r["cleaned"])
+    assert sorted(map(key, quality_rules.judged(table).collect())) == sorted(map(key, got))
+    columns = ["n_words", "text", "source", "kept", "n_chars"]
+    stage = quality_rules.stage(spark, spark.createDataFrame([(d, t, h, "x", 1) for d, t, h in docs], "n_words long, text string, source string, kept string, n_chars int"), "")
+    assert stage.columns == columns and {(r["n_words"], r["text"]) for r in stage.collect()} == {(d, t) for d, (ok, t) in want.items() if ok}
+    assert quality_rules.judged(table.limit(0)).count() == 0
+
+
+def test_quality_rules_of_a_long_text(spark):
+    words = [f"w{k % 977}x{k}" for k in range(300_000)]
+    long = " ".join(words[:150_000]) + "\n" + " ".join(words[150_000:]) + "\n" + " ".join(words[:7])
+    row = quality_rules.judged(spark.createDataFrame([(1, long, "h")], "doc_id long, text string, source string")).first()
+    assert tuple(row[m] for m in quality_rules.MEASURES) == brute.measures(long) and row["cleaned"] == long
 
 
 def test_tiling_is_greedy():
@@ -139,6 +153,21 @@ def test_decontamination_both_ways(spark, monkeypatch):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_decontamination_of_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, item), (None, "one two three four five"), (None, "six seven eight nine ten"), (1, item), (1, item), (1, "something else"), (2, None), (3, ""), (4, "w " * 50_000 + item), (5, "nothing of that kind in here at all")]
+    docs = spark.createDataFrame([(*d, k) for k, d in enumerate(rows)], "doc_id long, text string, item_id int").repartition(3)
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None), (9, "one two")], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["item_id"], r["n_matched"]) for r in decontaminate.contaminated(docs, bench).collect())
+    want = [(str(d), 7, n) for d, n in ((None, 10), (None, 5), (None, 5), (1, 10), (1, 10), (4, 10)) for _ in range(2)]
+    assert got == sorted(want)
+    bench.write.mode("overwrite").parquet(f"{common.shared_dir(spark)}/odd{most}/benchmark.parquet")
+    kept = decontaminate.stage(spark, docs, f"{common.shared_dir(spark)}/odd{most}")
+    assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [5, 6, 7, 9]
+
+
 def test_edit_distance(spark):
     r, pairs = random.Random(2), []
     for _ in range(300):
@@ -180,26 +209,24 @@ def test_cleaned_rows_without_an_id(spark):
     assert got == {docs[0], (None, "first of its text, a line"), docs[2], docs[3]}
 
 
-def test_line_dedup_grows_with_the_line(spark):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_long_lines_by_words(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     r = random.Random(8)
-    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(2, 9)))
-    docs, allowed = [], lambda line: max(1, len({tuple(w[k : k + 3]) for w in [line.split(" ")] for k in range(len(w) - 2)}) // 12)
-    for k in range(20):
-        line = " ".join(word() for _ in range(r.randrange(3, 120)))
-        docs.append((10 * k, line))
-        for c in range(1, 6):
-            other = list(line)
-            for _ in range(r.randrange(1, 14)):
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(0, 9)))
+    docs = [(None, "a line of a document without an id that stands after all others here"), (5000, "x " * 3000), (5001, "x " * 3000 + "y")]
+    for k in range(15):
+        words = [word() for _ in range(r.randrange(8, 60))]
+        for c in range(6):
+            other = words[:]
+            for _ in range(r.randrange(0, 4)):
                 at = r.randrange(len(other))
-                other[at : at + r.randrange(2)] = [r.choice(" xyé")] * r.randrange(2)
-            docs.append((10 * k + c, "".join(other)))
-    lines = [(d, t) for d, t in docs if len(t) >= 20]
-    distance = {(a, b): brute.levenshtein(s, t) for a, s in lines for b, t in lines if a < b and a // 10 == b // 10}
-    texts = dict(lines)
-    want = {b for (a, b), n in distance.items() if 0 < n <= min(allowed(texts[a]), allowed(texts[b]))} - {b for (a, b), n in distance.items() if n == 0}
-    assert any(1 < n <= min(allowed(texts[a]), allowed(texts[b])) for (a, b), n in distance.items())
-    got = line_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
-    assert {x["doc_id"] for x in got if x["near"]} == want
+                other[at : at + r.randrange(2)] = [word()] * r.randrange(2)
+            docs.append((10 * k + c, " ".join(other)))
+    docs += docs[3:5]
+    got = {x["doc_id"]: (x["exact"], x["near"]) for x in line_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.lines_removed([d for d in set(docs) if d[0] is not None])
+    assert any(near for _, near in got.values()) and got[5001] == ([], [0])
 
 
 def test_personal_data(spark):
