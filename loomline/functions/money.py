@@ -20,16 +20,26 @@ def is_negative(text: Column) -> Column:
 def canonical_number(text: Column) -> Column:
     """First number of text with a point as its only sign: grouping by three, or decimals after the last sign."""
     found = F.regexp_extract(text, r"\d[\d.,]*\d|\d", 0)
-    comma, dot = found.contains(","), found.contains(".")
-    decimal_comma = found.rlike(r"\d,\d{1,2}$")
-    grouped = found.rlike(r"^\d+(\.\d{3})+$")
+    # a let-binding: else each branch would search the text anew
+    return F.element_at(F.transform(F.array(found), _pointed), 1)
+
+
+def _pointed(found: Column) -> Column:
+    """A number's text with a point as its only sign, by which signs it has and where the last one stands."""
+    comma, dot = F.instr(found, ","), F.instr(found, ".")
+    tail = F.length(F.substring_index(found, ",", -1))
+    plain = F.replace(found, F.lit(","), F.lit(""))
+    by_comma = F.concat(F.translate(F.substring(found, F.lit(1), F.length(found) - tail), ",.", ""), F.lit("."), F.substring_index(found, ",", -1))
+    last_comma = F.length(F.substring_index(found, ".", -1)) > tail
+    one_comma = F.length(found) - F.length(plain) == 1
+    grouped = (dot > 0) & found.rlike(r"^\d+(\.\d{3})+$")
     return (
         F.when(found == "", F.lit(None))
-        .when(comma & dot & found.rlike(r"\.[^.]*,[^.,]*$"), F.regexp_replace(F.regexp_replace(found, r"\.", ""), ",", "."))
-        .when(comma & dot, F.regexp_replace(found, ",", ""))
-        .when(comma & decimal_comma, F.concat(F.regexp_replace(F.regexp_extract(found, r"^(.*),\d+$", 1), "[,.]", ""), F.lit("."), F.regexp_extract(found, r",(\d+)$", 1)))
-        .when(comma, F.regexp_replace(found, ",", ""))
-        .when(grouped, F.regexp_replace(found, r"\.", ""))
+        .when((comma > 0) & (dot > 0) & last_comma & one_comma, by_comma)
+        .when((comma > 0) & (dot > 0), plain)
+        .when((comma > 0) & (tail <= 2), by_comma)
+        .when(comma > 0, plain)
+        .when(grouped, F.replace(found, F.lit("."), F.lit("")))
         .otherwise(found)
     )
 

@@ -60,7 +60,7 @@ def field_key(c: Column) -> Column:
 
 
 def has_term(text: Column, term: str) -> Column:
-    return F.lower(text).rlike(rf"(^|[^a-z0-9]){term}([^a-z0-9]|$)")
+    return F.lower(text).rlike(rf"(^|[^a-z0-9])\Q{term}\E([^a-z0-9]|$)")
 
 
 def stem(token: Column) -> Column:

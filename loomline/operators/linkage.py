@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -61,6 +62,17 @@ def pairs(source: DataFrame, candidates: DataFrame, block: str) -> DataFrame:
     return a.join(b, F.col(f"s_{block}") == F.col(f"c_{block}"))
 
 
+def price_pairs(rows: DataFrame, block: list[str], price: str, share: float) -> DataFrame:
+    """Pairs of rows of one block whose second price is within share of the first. Prices meet by logarithmic bins as wide as
+    the band, a source's in its own and both neighbours, so that no block meets itself as a whole."""
+    width = -math.log(1 - share)
+    binned = rows.where(F.col(price) > 0).withColumn("_bin", F.floor(F.ln(price) / width))
+    a = binned.select(*(F.col(c).alias(f"s_{c}") for c in rows.columns), F.explode(F.array(*(F.col("_bin") + k for k in (-1, 0, 1)))).alias("_s_bin"))
+    b = binned.select(*(F.col(c).alias(f"c_{c}") for c in rows.columns), F.col("_bin").alias("_c_bin"))
+    same = [F.col(f"s_{c}") == F.col(f"c_{c}") for c in block]
+    return a.join(b, [*same, F.col("_s_bin") == F.col("_c_bin"), money.within_band(F.col(f"s_{price}"), F.col(f"c_{price}"), share)]).drop("_s_bin", "_c_bin")
+
+
 def ladder(similarity: Column, brand: Column, price: Column, *, gtin: Column | None = None, style: Column | None = None, model: Column | None = None, source_type: Column | None = None, mismatch: Column | None = None, group: Column | None = None) -> tuple[Column, Column]:
     """(score, basis): weighted sum, raised to the floor of the strongest identity signal, capped on a mismatch."""
     no = F.lit(False)

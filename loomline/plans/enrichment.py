@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..operators import extraction as E
 from ..operators import taxonomy as T
+from .linkage import _TAXONOMY, _TOKENS, TAXONOMY
 from .registry import registered, table
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: length(t) > 1))"
@@ -132,11 +133,13 @@ def reading_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), text.reading_minutes(words).cast("long").alias("minutes"))
 
 
-@registered()
+@registered(
+    f"""WITH c AS (SELECT col0 AS category, len(string_split(col0, ' > ')) AS path_length, {_TOKENS.format('col0')} AS t FROM (VALUES {_TAXONOMY}) v), i AS (SELECT category, path_length, len(t) AS n, unnest(t) AS token FROM c),
+    p AS (SELECT p_partkey, unnest({_TOKENS.format('p_name')}) AS token FROM part), s AS (SELECT p_partkey, category, path_length, count(*) / n AS score FROM p JOIN i USING (token) GROUP BY p_partkey, category, path_length, n)
+    SELECT p_partkey, category, score, (row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, path_length, category))::INT AS place FROM s WHERE score >= 0.2 QUALIFY place <= 3"""
+)
 def best_taxonomy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best categories of each part."""
-    from .linkage import TAXONOMY
-
     taxonomy = spark.createDataFrame([(c,) for c in TAXONOMY], "category string")
     return T.best_categories(table(spark, sf_dir, "part"), "p_partkey", "p_name", taxonomy, least=0.2, top=3)
 

@@ -41,8 +41,10 @@ def title_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of titles of a brand, and those within a narrow band of the source's price (the band is not symmetric)."""
     titles = _titles(spark, sf_dir).select("p_brand", "p_name", "price")
-    met = K.pairs(titles, titles, "p_brand").where(F.col("s_p_name") != F.col("c_p_name"))
-    return met.groupBy(F.col("s_p_brand").alias("brand")).agg(F.count("*").alias("pairs"), F.count_if(money.within_band(F.col("s_price"), F.col("c_price"), 0.001)).alias("in_band"))
+    counts = titles.groupBy("p_brand").agg((F.count("*") * (F.count("*") - 1)).alias("pairs")).where("pairs > 0")
+    met = K.price_pairs(titles.where("price > 0"), ["p_brand"], "price", 0.001).where("s_p_name <> c_p_name")
+    near = met.groupBy(F.col("s_p_brand").alias("_brand")).agg(F.count("*").alias("n"))
+    return counts.join(near, F.col("p_brand") == F.col("_brand"), "left").select(F.col("p_brand").alias("brand"), "pairs", F.coalesce("n", F.lit(0)).alias("in_band"))
 
 
 _SIM = f"CASE WHEN {_BOTH} / least(len(a.t), len(b.t)) >= 0.85 AND {_BOTH} / greatest(len(a.t), len(b.t)) >= 0.6 AND {_BOTH} >= 3 THEN 0.8 * {_BOTH} / least(len(a.t), len(b.t)) + 0.2 * {_BOTH} / greatest(len(a.t), len(b.t)) ELSE {_BOTH} / {_UNION} END"

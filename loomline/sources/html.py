@@ -153,3 +153,36 @@ def open_graph(pages: DataFrame) -> DataFrame:
     """page_id and meta (property -> content) of og: and twitter: tags."""
     pairs = F.transform(F.regexp_extract_all("html", F.lit(r'(?i)<meta[^>]*(?:property|name)="(?:og|twitter):[^"]*"[^>]*>'), 0), lambda m: F.struct(F.regexp_extract(m, r'(?i)(?:property|name)="([^"]*)"', 1).alias("k"), F.regexp_extract(m, r'(?i)content="([^"]*)"', 1).alias("v")))
     return pages.select("page_id", F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["v"] != ""), lambda p: F.struct(p["k"], p["v"]))).alias("meta"))
+
+
+def microdata(pages: DataFrame) -> DataFrame:
+    """page_id, property and value of itemprop tags: the content attribute, else the text up to the next tag."""
+    tags = F.regexp_extract_all(bare(F.col("html")), F.lit(r'(?i)<[a-z][^>]*\bitemprop="[^"]+"[^>]*>[^<]*'), 0)
+    one = pages.select("page_id", F.explode(tags).alias("tag"))
+    value = F.coalesce(F.nullif(F.regexp_extract("tag", r'(?i)\bcontent="([^"]*)"', 1), F.lit("")), X.clean_text(F.regexp_extract("tag", ">([^<]*)$", 1)))
+    return one.select("page_id", F.regexp_extract("tag", r'(?i)\bitemprop="([^"]+)"', 1).alias("property"), value.alias("value")).where("value <> ''")
+
+
+def embedded(pages: DataFrame) -> DataFrame:
+    """page_id, kind and payload (JSON text) of scripts of type application/json, and of objects that scripts assign to a
+    name of a window. An object ends where its braces balance, but for those in strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            out = []
+            for page, kind, texts in zip(*(batch.column(c).to_pylist() for c in ("page_id", "kind", "texts")), strict=True):
+                for body in texts:
+                    try:
+                        value, _ = decoder.raw_decode(body.strip())
+                    except ValueError:
+                        continue
+                    out.append((page, kind, json.dumps(value, sort_keys=True, ensure_ascii=False)))
+            ids, kinds, payloads = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(payloads, pa.string())], ["page_id", "kind", "payload"])
+
+    script = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/json"[^>]*>(.*?)</script>'), 1)
+    state = F.regexp_extract_all("html", F.lit(r"(?is)\bwindow\.\w+\s*=\s*([{\[].*?)</script>"), 1)
+    both = F.array(F.struct(F.lit("script").alias("kind"), script.alias("texts")), F.struct(F.lit("state").alias("kind"), state.alias("texts")))
+    found = pages.select("page_id", F.inline(both)).where(F.size("texts") > 0)
+    return found.mapInArrow(run, "page_id long, kind string, payload string")

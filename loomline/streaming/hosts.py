@@ -34,7 +34,7 @@ def policies(fetches: DataFrame, ttl_seconds: int = 3600, threshold: int = 2, fa
                 run += 1
                 if run >= failures:
                     opened, run = now + cooldown_seconds, 0
-            stamp = lambda x, n=now: pd.Timestamp(x, unit="s") if x > n else pd.NaT
+            stamp = lambda x, n=now: pd.Timestamp(round(x * 1_000_000), unit="us") if x > n else pd.NaT
             out.append((key[0], ts, blocks, stamp(until), stamp(opened)))
         state.update((last, blocks, until, run, opened))
         yield pd.DataFrame(out, columns=["host", "ts", "blocks", "browser_until", "open_until"]).astype({"browser_until": "datetime64[ns]", "open_until": "datetime64[ns]"})
