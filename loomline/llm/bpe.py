@@ -28,7 +28,7 @@ from . import common
 
 #: Distinct pre-tokens, chunks and pairs that a Python worker remembers each, in two generations: when the young one is full
 #: it becomes the old one, and what is used again comes back from there.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 
 class Coder:
