@@ -231,3 +231,38 @@ def pages_by_url_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     low = F.lower("url")
     return table(spark, sf_dir, "pages").where(low.rlike(r"^https?://(www\.)?[a-z]\.?[a-z0-9]*[0-9]") | (F.size(F.filter(F.split(U.query(F.col("url")), "&"), lambda p: p != "")) > 0)).select("page_id")
+
+
+@registered("SELECT p_partkey, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END::DOUBLE AS overlap FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type || ' widget'), ' ')) AS b FROM part)")
+def weighted_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a title's tokens that its category has."""
+    a, b = (F.array_distinct(F.split(F.lower(c), " ")) for c in (F.col("p_name"), F.concat("p_type", F.lit(" widget"))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0).alias("overlap"))
+
+
+@registered("SELECT o_orderkey, o_orderdate - to_hours(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END) AS at FROM orders")
+def times_in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times told with an offset, or with none, which means UTC."""
+    said = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("o_orderkey") % 2 == 0, "+02:00").otherwise("+00:00"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_timestamp(said, "yyyy-MM-dd HH:mm:ssXXX").alias("at"))
+
+
+@registered("SELECT conv_id, count(*) FILTER (turn > 0 AND role = 'user') AS replies, sum(length(text))::BIGINT AS views FROM conversations GROUP BY 1")
+def reply_and_view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that threads state in words, by label."""
+    threads = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if((F.col("turn") > 0) & (F.col("role") == "user")).alias("r"), F.sum(F.length("text")).alias("v"))
+    said = threads.select("conv_id", F.concat(F.lit("Posted by x | "), F.format_number("r", 0), F.lit(" Replies, "), F.format_number("v", 0), F.lit(" views")).alias("t"))
+    stated = lambda label: V.whole_number(F.regexp_extract("t", rf"(?i)([\d,]+)\s*{label}", 1))
+    return said.select("conv_id", stated("repl(?:y|ies)").alias("replies"), stated("views?").alias("views"))
+
+
+@registered("SELECT p_partkey AS page_id, v.k AS label, CASE v.k WHEN 'Brand' THEN p_brand ELSE p_type END AS value FROM part, (VALUES ('Brand'), ('Type')) v(k)")
+def label_value_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and values of definition lists."""
+    html = F.concat(F.lit("<dl><dt>Brand:</dt><dd> "), "p_brand", F.lit("</dd><dt class='x'>Type</dt>\n<dd><b>"), "p_type", F.lit("</b></dd><dt>Empty</dt><dd></dd></dl>"))
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<dt[^>]*>.*?</dd>"), 0)
+    one = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.explode(found).alias("pair"))
+    from ..functions import text
+
+    label = F.regexp_replace(text.strip_tags(F.regexp_extract("pair", r"(?is)^(<dt.*?</dt>)", 1)), r"\s*:$", "")
+    return one.select("page_id", label.alias("label"), text.strip_tags(F.regexp_extract("pair", r"(?is)(<dd.*</dd>)$", 1)).alias("value")).where("value <> ''")

@@ -297,3 +297,57 @@ def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [F.when(F.col("o_totalprice") < 1000, "price: too low"), F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "priority: missing"), F.when(~F.col("o_orderstatus").isin("F", "O"), F.concat(F.lit("status: unknown "), F.col("o_orderstatus")))]
     found = table(spark, sf_dir, "orders").select(F.array_compact(F.array(*rules)).alias("e"))
     return found.groupBy(F.size("e").alias("n_errors"), F.array_join("e", "; ").alias("errors")).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT o_custkey, count(*) AS records, count(*) FILTER (2 + (o_orderpriority <> '4-NOT SPECIFIED')::INT + (o_totalprice >= 100000)::INT >= 4) AS full_records FROM orders GROUP BY 1")
+def populated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that have all four of their fields; URLs and sources do not count."""
+    fields = [F.col("o_orderstatus"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")), F.when(F.col("o_totalprice") >= 100000, "high").otherwise("")]
+    score = F.size(F.filter(F.array(*fields), lambda v: F.coalesce(v, F.lit("")) != ""))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("records"), F.count_if(score >= 4).alias("full_records"))
+
+
+@registered(
+    """SELECT l_suppkey, '# Supplier ' || l_suppkey || chr(10) || '- records: ' || count(*) || chr(10) || '- returned: ' || count(*) FILTER (l_returnflag = 'R') || chr(10) || '- grade: ' || CASE WHEN count(*) FILTER (l_returnflag = 'R') * 4 > count(*) THEN 'poor' ELSE 'good' END AS report FROM lineitem GROUP BY 1"""
+)
+def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each supplier as a short document."""
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
+    grade = F.when(F.col("r") * 4 > F.col("n"), "poor").otherwise("good")
+    lines = F.array(F.concat(F.lit("# Supplier "), "l_suppkey"), F.concat(F.lit("- records: "), "n"), F.concat(F.lit("- returned: "), "r"), F.concat(F.lit("- grade: "), grade))
+    return sums.select("l_suppkey", F.array_join(lines, "\n").alias("report"))
+
+
+@registered(
+    """WITH t AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS fields FROM lineitem GROUP BY 1)
+      SELECT l_orderkey, len(list_intersect(fields, ['NO', 'RF', 'AF'])) >= greatest(1, ceil(len(fields) * 0.5)) AS is_surface FROM t"""
+)
+def field_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether enough names of a payload are those of a surface: one at least, and half of them."""
+    names = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("fields"))
+    known = F.size(F.array_intersect("fields", F.array(F.lit("NO"), F.lit("RF"), F.lit("AF"))))
+    return names.select("l_orderkey", (known >= F.greatest(F.lit(1), F.ceil(F.size("fields") * 0.5))).alias("is_surface"))
+
+
+@registered(
+    """WITH d AS (SELECT l_suppkey, 100 * count(*) FILTER (l_returnflag <> 'R') // count(*) AS markup, 100 * count(DISTINCT l_linestatus) // 2 AS commerce, least(100, count(DISTINCT l_shipdate) // 2) AS freshness FROM lineitem GROUP BY 1)
+      SELECT l_suppkey, u.dimension, u.score::BIGINT AS score FROM d, LATERAL (VALUES ('markup', markup), ('commerce', commerce), ('freshness', freshness)) u(dimension, score)"""
+)
+def audit_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's scores by dimension, one row each."""
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("good"), F.count("*").alias("n"), F.count_distinct("l_linestatus").alias("states"), F.count_distinct("l_shipdate").alias("days"))
+    scores = F.create_map(F.lit("markup"), V.percent(F.col("good"), F.col("n")), F.lit("commerce"), V.percent(F.col("states"), F.lit(2)), F.lit("freshness"), F.least(F.lit(100).cast("long"), F.expr("days div 2")))
+    return sums.select("l_suppkey", F.explode(scores).alias("dimension", "score"))
+
+
+@registered("SELECT event_id, to_json(struct_pack(monitor := user_id, kind := event_type, evidence := props))::VARCHAR AS packet FROM events WHERE event_type = 'error'")
+def evidence_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packet = F.to_json(F.struct(F.col("user_id").alias("monitor"), F.col("event_type").alias("kind"), F.col("props").alias("evidence")))
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", packet.alias("packet"))
+
+
+@registered("SELECT o_orderkey AS id, o_orderpriority AS title, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price, 'USD' AS currency, '' AS image, strftime(o_orderdate, '%Y-%m-%d') AS seen FROM orders")
+def fixed_schema_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a fixed set of columns, all texts but the id; what is missing is blank."""
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), price.alias("price"), F.lit("USD").alias("currency"), F.lit("").alias("image"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen"))
