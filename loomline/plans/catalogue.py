@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import enrichment, extraction, fields, linkage, monitoring, operations, pages, products, records, streams, urls  # noqa: F401  they register their queries
+from . import enrichment, extraction, fields, linkage, monitoring, operations, pages, products, records, selection, streams, urls  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import export, linkage, monitoring, quality, taxonomy, variants
+from loomline.operators import export, linkage, monitoring, quality, selection, taxonomy, variants
 
 
 def test_snapshot_diff(spark):
@@ -64,3 +64,23 @@ def test_export(spark):
     stored = spark.createDataFrame([("k1", "f1"), ("k2", "f2")], "k string, f string")
     incoming = spark.createDataFrame([("k1", "f1"), ("k2", "f9"), ("k3", "f3"), (None, "f")], "k string, f string")
     assert {r["k"]: r["action"] for r in export.upserted(stored, incoming, "k", "f").collect()} == {"k1": "none", "k2": "update", "k3": "insert"}
+
+
+def test_domains(spark):
+    urls = ["http://a.com", "HTTPS://www.A.com/x", "http://a.com:80/", "http://a.com.evil.org/", "http://m.a.com/", "ftp://a.com/", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [bool(r[0]) for r in df.select(selection.of_domain(F.col("u"), F.lit("a.com"))).collect()] == [True, True, True, False, False, False, False]
+
+
+def test_rule_values(spark):
+    df = spark.createDataFrame([([("a", 1), ("b", 2), ("a", 3)],), ([],)], "v array<struct<id:string,n:int>>")
+    first = selection.variant_value(F.col("v"), "n", lambda v: v["id"] == "a")
+    every = selection.variant_values(F.col("v"), lambda v: v["id"], "n")
+    assert [tuple(r) for r in df.select(first, every).collect()] == [(1, {"b": 2, "a": 3}), (None, {})]
+
+
+def test_adapter_results(spark):
+    rows = [("x", "u", "1", " "), ("x", "u", None, None), ("y", "u", "2", "b"), ("y", "w", None, "c"), ("y", None, "9", "z")]
+    df = spark.createDataFrame(rows, "adapter string, url string, price string, title string")
+    assert sorted(tuple(r) for r in selection.merged_results(df, "adapter", "url", ["price", "title"]).collect()) == [("u", "2", "b"), ("w", None, "c")]
+    assert selection.merged_results(df.limit(0), "adapter", "url", ["price"]).collect() == []
