@@ -49,6 +49,12 @@ def from_paths(payloads: DataFrame, body: str, paths: dict[str, list[str]]) -> D
     return parsed.select(*payloads.columns, *(text.first_present(*map(get, ps)).alias(f) for f, ps in paths.items()))
 
 
+def from_roots(payloads: DataFrame, body: str, roots: list[str], paths: dict[str, list[str]]) -> DataFrame:
+    """payloads with a column for each field: its first value below the roots of a page's state, root by root. Roots start with
+    `$`, paths with a dot; what is not an object below a root, blank values and text that is no JSON give nothing."""
+    return from_paths(payloads, body, {f: [root + p for root in roots for p in ps] for f, ps in paths.items()})
+
+
 def backfilled(rows: DataFrame, other: DataFrame, keys: list[str], fields: list[str], place: str) -> DataFrame:
     """rows whose blank fields are filled from other, by the first of keys that finds a row; of other rows with one key
     the last by place counts."""

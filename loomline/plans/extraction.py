@@ -48,6 +48,21 @@ def payload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.from_paths(table(spark, sf_dir, "events").select("event_id", "props"), "props", {"k": ["$.missing", "$.k"]}).select("event_id", "k")
 
 
+_STATE = """CASE event_id % 3 WHEN 0 THEN concat('{"job": {"title": "', event_type, '", "place": ""}, "page": {"job": {"name": "page", "city": "', user_id, '"}}}')
+  WHEN 1 THEN concat('{"job": "none", "page": {"job": {"name": "', event_type, '"}}}') ELSE props END"""
+
+
+@registered(
+    f"""WITH s AS (SELECT event_id, ({_STATE})::JSON AS s FROM events)
+    SELECT event_id, coalesce(nullif(s->>'$.job.title', ''), nullif(s->>'$.job.name', ''), nullif(s->>'$.page.job.title', ''), nullif(s->>'$.page.job.name', '')) AS title,
+    coalesce(nullif(s->>'$.job.place', ''), nullif(s->>'$.job.city', ''), nullif(s->>'$.page.job.place', ''), nullif(s->>'$.page.job.city', '')) AS place FROM s"""
+)
+def state_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a page's state from configured roots and paths: the first root that has a value gives it."""
+    states = table(spark, sf_dir, "events").select("event_id", F.expr(_STATE).alias("state"))
+    return E.from_roots(states, "state", ["$.job", "$.page.job"], {"title": [".title", ".name"], "place": [".place", ".city"]}).drop("state")
+
+
 @registered(
     """WITH l AS (SELECT l_partkey, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS flag FROM lineitem GROUP BY 1)
     SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type ELSE flag END AS kind FROM part LEFT JOIN l ON l_partkey = p_partkey"""
