@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import export, linkage, monitoring, quality, selection, taxonomy, variants
+from loomline.operators import admission, export, linkage, monitoring, quality, selection, taxonomy, variants
 
 
 def test_snapshot_diff(spark):
@@ -84,3 +84,34 @@ def test_adapter_results(spark):
     df = spark.createDataFrame(rows, "adapter string, url string, price string, title string")
     assert sorted(tuple(r) for r in selection.merged_results(df, "adapter", "url", ["price", "title"]).collect()) == [("u", "2", "b"), ("w", None, "c")]
     assert selection.merged_results(df.limit(0), "adapter", "url", ["price"]).collect() == []
+
+
+def test_admission(spark):
+    rows = [
+        ("https://a.com/product/x", "Red Kettle AB12345", True),  # the code
+        ("https://a.com/product/x", "Red Kettle CD99999", False),  # another code
+        ("https://a.com/product/x", "Red Kettle", True),
+        ("https://a.com/product/x", "Blue Garden Chair", False),
+        ("https://a.com/category/x", "Red Kettle AB12345", False),
+        ("https://a.com/red-kettle-two-litres", None, True),  # the URL stands for the text
+        ("https://a.com", "Red Kettle", False),
+        (None, "Red Kettle", False),
+    ]
+    df = spark.createDataFrame(rows, "url string, found string, expected boolean")
+    may = admission.admitted(F.lit("Red Kettle"), F.lit("Acme"), F.lit("AB12345"), F.col("url"), F.col("found"))
+    assert [(bool(r[0]), r[1]) for r in df.select(may, "expected").collect()] == [(e, e) for _, _, e in rows]
+
+
+def test_axes_noise_scripts(spark):
+    names = {"Colour": "color", "Select Size": "size", "Size & Color": "size_color", "shoe size 2": "size", "Pack count": "pack_count", "": "", None: ""}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(admission.axis_key(F.col("n"))).collect()] == list(names.values())
+    noise = {"#abc": True, "#abcd": False, "Save 10%": True, "10% wool": False, " ": True, None: True, "N/A": True, "Blue": False}
+    df = spark.createDataFrame([(n,) for n in noise], "n string")
+    assert [r[0] for r in df.select(admission.option_noise(F.col("n"))).collect()] == list(noise.values())
+    page = '<script src="a"></script><SCRIPT type="x" id=" i ">\n{1}</SCRIPT><template data-varname="S"><script>2</script></template>'
+    df = spark.createDataFrame([(page,), ("",), (None,)], "h string")
+    got = [[tuple(s) for s in r[0]] for r in df.select(admission.script_texts(F.col("h"))).collect()]
+    assert got == [[("i", "x", "\n{1}"), ("S", "", "2")], [], []]
+    rules = [("a", "p", F.lit(1)), ("", "p", F.lit(2)), (None, None, F.lit(None)), (" p ", "q", F.lit(3))]
+    assert spark.range(1).select(admission.rule_values(rules)).first()[0] == {"a": "1", "p": "3", "rule_3": None}
