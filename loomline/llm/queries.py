@@ -13,6 +13,7 @@ from .line_dedup import op2_line_dedup
 from .pii import op8_pii
 from .quality_model import op10_quality_classifier
 from .rans import op9_rans
+from .simhash import op13_simhash
 from .substring_dedup import op1_substring_dedup
 
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_rans": op9_rans,
         "op10_quality_classifier": op10_quality_classifier,
+        "op13_simhash": op13_simhash,
     }
 
 
