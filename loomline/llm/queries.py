@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, quality_rules, warc
+from . import collocations, jaccard_join, quality_rules, warc
+from .alignment import op12_alignment
 from .bpe import op4_bpe
 from .decontaminate import op3_decontamination
 from .line_dedup import op2_line_dedup
@@ -29,9 +30,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_rans": op9_rans,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_alignment": op12_alignment,
         "op13_simhash": op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": jaccard_join.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op5_jaccard_join": jaccard_join.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
