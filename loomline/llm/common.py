@@ -99,58 +99,85 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 #: Bytes whose powers are held at once: a power is one of a table's, times one of the chunk's.
 _CHUNK = 1 << 16
+#: A prime: sums of powers of a base modulo a power of two would vanish for regular texts whatever the base.
+_PRIME = np.uint64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo _PRIME, in place, for x under 2**62; the prime itself may stand for 0."""
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x &= _PRIME
+        x += high
+    return x
 
 
 class Rolling:
-    """Polynomial hashes of byte ranges: one prefix sum, then any range in constant time."""
+    """Hashes of byte ranges by two polynomials modulo a prime: prefix sums, then any range in constant time."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        base, self.inverse, table = _rolling(seed)
-        self.seed, n = seed, len(data)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
+        self.seed, self.sides = seed, []
+        n = len(data)
+        for base, inverse, table in _rolling(seed):
+            prefix = np.zeros(n + 1, np.uint32)
             for k in range(0, n, _CHUNK):
                 part = table[data[k : k + _CHUNK]]
                 part *= _powers(base)[: len(part)]
-                part *= np.uint64(pow(base, k, 2**64))
-                np.cumsum(part, out=part)
-                part += self.prefix[k]
-                self.prefix[k + 1 : k + 1 + len(part)] = part
-            self.high = np.array([pow(self.inverse, k, 2**64) for k in range(0, n + 1, _CHUNK)], np.uint64)
+                np.cumsum(_reduced(part), out=part)
+                _reduced(part)
+                part *= np.uint64(pow(base, k, int(_PRIME)))
+                part += np.uint64(prefix[k])
+                prefix[k + 1 : k + 1 + len(part)] = _reduced(part)
+            high = np.array([pow(inverse, k, int(_PRIME)) for k in range(0, n + 1, _CHUNK)], np.uint64)
+            self.sides.append((prefix, _powers(inverse), high))
+
+    def _hashed(self, sides: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+        one, two = (np.where(x == _PRIME, np.uint64(0), x) for x in sides)
+        with np.errstate(over="ignore"):
+            return mix((one << np.uint64(31) | two) + length * _ODD, self.seed)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            out = self.prefix[end]
-            out -= self.prefix[start]
-            out *= _powers(self.inverse)[start & (_CHUNK - 1)]
-            if len(self.high) > 1:
-                out *= self.high[start >> 16]
-            return mix(out + (end - start).astype(np.uint64) * _ODD, self.seed)
+        sides = []
+        for prefix, low, high in self.sides:
+            x = prefix[end].astype(np.uint64)
+            x += _PRIME  # at least what is taken off
+            x -= prefix[start]
+            _reduced(x)
+            x *= low[start & (_CHUNK - 1)]
+            _reduced(x)
+            if len(high) > 1:
+                x *= high[start >> 16]
+                _reduced(x)
+            sides.append(x)
+        return self._hashed(sides, (end - start).astype(np.uint64))
 
     def windows(self, length: int) -> np.ndarray:
         """of() for each range of this length, in the order of their starts."""
-        with np.errstate(over="ignore"):
-            out = self.prefix[length:] - self.prefix[: max(0, len(self.prefix) - length)]
-            for j, k in enumerate(range(0, len(out), _CHUNK)):
-                part = out[k : k + _CHUNK]
-                part *= _powers(self.inverse)[: len(part)]
-                part *= self.high[j]
-                part[:] = mix(part + np.uint64(length) * _ODD, self.seed)
-            return out
+        count = max(0, len(self.sides[0][0]) - length)
+        out = np.empty(count, np.uint64)
+        for k in range(0, count, _CHUNK):
+            start = np.arange(k, min(count, k + _CHUNK))
+            out[k : k + _CHUNK] = self.of(start, start + length)
+        return out
 
 
-@lru_cache(maxsize=32)
+@lru_cache(maxsize=64)
 def _powers(base: int) -> np.ndarray:
     out = np.ones(_CHUNK, np.uint64)
-    with np.errstate(over="ignore"):
-        out[1:] = np.uint64(base)
-        return np.multiply.accumulate(out)
+    done = 1
+    while done < _CHUNK:
+        out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, int(_PRIME))) % _PRIME
+        done *= 2
+    return out
 
 
-@lru_cache(maxsize=16)
-def _rolling(seed: int) -> tuple[int, int, np.ndarray]:
-    base = int(mix(np.array([seed * 2 + 11], np.uint64))[0]) | 1
-    return base, pow(base, -1, 2**64), mix(np.arange(256, dtype=np.uint64), seed + 77)
+@lru_cache(maxsize=32)
+def _rolling(seed: int) -> list[tuple[int, int, np.ndarray]]:
+    out = []
+    for side in (11, 12):
+        base = int(mix(np.array([seed * 2 + side], np.uint64), side)[0] % (_PRIME - np.uint64(1000))) + 500
+        out.append((base, pow(base, -1, int(_PRIME)), mix(np.arange(256, dtype=np.uint64), seed * 2 + 77 + side) % (_PRIME - np.uint64(1)) + np.uint64(1)))
+    return out
 
 
 # --- words -------------------------------------------------------------------------------------------------------
