@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import store
+
 
 def events(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
     """The files of a table as a stream."""
@@ -18,13 +16,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     """What the stream gives for all that is there now, written into the folder that driver and executors share and read
     again. State and progress stand beside it, so that a query that breaks off goes on from there."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/loomline-{name}-{uuid.uuid4().hex[:12]}"
+    path = store.path(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
