@@ -4,7 +4,7 @@
 texts are read once. Words are counted by language; a word of a language stands as a 64-bit key from here on, after a check
 that no two words share one (else keys are salted anew). 2. Words under LEAST occurrences end suffixes, and so do pairs of
 neighbours under LEAST: filters of bounded size hold the frequent ones and let a few others pass, which costs time and no
-result. Suffixes, up to MOST_WORDS words from each place, are folded where equal within a slice. 3. Suffixes are routed by
+result. Suffixes, up to MOST_WORDS words from each place, are folded where equal within a task. 3. Suffixes are routed by
 their leading words: two, or one more where a prefix has more rows than one task should hold (sizes of all prefixes of that
 depth are counted first, which counts the phrases too). 4. A task sorts pointers to its suffixes three ways by the word at the
 current depth: smaller, equal, larger. The weight of the equal part is the count of the phrase; it goes on at the next word.
@@ -30,6 +30,8 @@ from . import common
 LEAST, MOST_WORDS, TOP, NO_LANG = 100, 5, 2000, "und"
 #: Rows of one prefix that a task may sort; beyond it one more word routes.
 LEAF_ROWS = 200_000
+#: Suffixes that a task holds to fold equal ones.
+FOLDED = 1_000_000
 #: Bits of a filter: this many a key, a power of two within these bounds.
 FILTER_BITS, LEAST_BITS, MOST_FILTER = 16, 1 << 16, 1 << 29
 _SLICE_BITS = 1 << 18
@@ -158,10 +160,18 @@ class _Slice:
         for k in range(1, MOST_WORDS):
             open_rows &= good[at + k - 1]
             rows[open_rows, k] = self.along[at[open_rows] + k]
-        order = np.lexsort(rows.T[::-1])
-        rows = rows[order]
-        heads = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1))) if len(rows) else np.zeros(0, np.int64)
-        return rows[heads], np.diff(np.append(heads, len(rows)))
+        return _folded(rows, np.ones(len(rows), np.int64))
+
+
+def _folded(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    heads = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1))) if len(rows) else np.zeros(0, np.int64)
+    return rows[heads], np.add.reduceat(n[order], heads) if len(heads) else n[:0]
+
+
+def _batch(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T), pa.array(n)], [*_WORDS, "n"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[_Slice]:
@@ -171,7 +181,7 @@ def _slices(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[_S
 
 
 def suffixes(held: DataFrame, words: DataFrame, salt: int, least: int) -> DataFrame:
-    """w1 to w5 (keys, 0 behind the end) and n of suffixes of two words and more, folded within slices."""
+    """w1 to w5 (keys, 0 behind the end) and n of suffixes of two words and more, folded within tasks."""
     send = held.sparkSession.sparkContext.broadcast
     keyed = held.select(F.transform("words", lambda w: F.xxhash64(F.col("lang"), w, F.lit(salt))).alias("keys"), "codes")
     word_filter = send(bloom(words.where(F.col("n") >= least)))
@@ -185,9 +195,16 @@ def suffixes(held: DataFrame, words: DataFrame, salt: int, least: int) -> DataFr
     pair_filter = send(bloom(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows = [(np.zeros((0, MOST_WORDS), np.uint64), np.zeros(0, np.int64))]
         for x in _slices(batches, word_filter.value):
-            rows, n = x.suffixes(pair_filter.value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T), pa.array(n)], [*_WORDS, "n"])
+            open_rows.append(x.suffixes(pair_filter.value))
+            if sum(len(n) for _, n in open_rows) >= FOLDED:
+                rows, n = _folded(*map(np.concatenate, zip(*open_rows, strict=True)))
+                open_rows = [(rows, n)]
+                if len(n) >= FOLDED // 2:  # too few meet again to hold them
+                    yield _batch(rows, n)
+                    open_rows = [(rows[:0], n[:0])]
+        yield _batch(*_folded(*map(np.concatenate, zip(*open_rows, strict=True))))
 
     return keyed.mapInArrow(run, f"{', '.join(f'{w} long' for w in _WORDS)}, n long")
 
@@ -237,12 +254,14 @@ def counted_phrases(rows: DataFrame, least: int, leaf: int = LEAF_ROWS) -> DataF
             break
         large = sizes.where(F.col("rows") > leaf).select(*prefix)
         tasks = max(1, -(-int(sizes.agg(F.sum("rows")).first()[0] or 0) // leaf))
-        kept = rows.where(F.col(_WORDS[depth]) != 0).join(sizes.select(*prefix, "rows"), prefix, "left_semi")
-        small = kept.join(large, prefix, "left_anti")
+        # nearly all prefixes of two words are frequent, as their filter says; those that are not are abandoned in the sort
+        kept = rows.where(F.col(_WORDS[depth]) != 0)
+        last = large.isEmpty()
+        small = kept if last else kept.join(large, prefix, "left_anti")
         # a hash of the leading words as the route; Spark deals routes to tasks
         sorted_parts = small.repartition(tasks, *prefix).mapInArrow(lambda batches, d=depth: sort(batches, d), "words array<long>, a long")
         out = out.unionByName(sorted_parts)
-        if large.isEmpty():
+        if last:
             break
         rows = common.saved(kept.join(large, prefix, "left_semi"), "large")
     return common.saved(out, "phrases")
