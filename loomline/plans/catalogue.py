@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import admission, enrichment, extraction, fields, linkage, monitoring, operations, pages, products, records, selection, streams, trees, urls  # noqa: F401  they register their queries
+from . import admission, enrichment, extraction, fields, linkage, monitoring, operations, pages, payloads, products, records, selection, streams, trees, urls  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -1,16 +1,12 @@
-"""Pages as rows. Regular expressions cover what needs no tree; `tables` and `structured` parse in Arrow batches."""
+"""Pages as rows. Regular expressions cover what needs no tree; structured data come from the bundle of one parse."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import bundle
 
 
 def bare(html: Column) -> Column:
@@ -58,131 +54,31 @@ def block_flags(pages: DataFrame) -> DataFrame:
     return out.withColumn("blocked", (F.col("markers") >= 2) | ((F.col("markers") >= 1) & (F.col("words") < 120))).withColumn("shell", F.col("words") < 20)
 
 
-class _Tables(HTMLParser):
-    """Rows of cells of each table, outermost cells' text; nested tables end the cell they stand in."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[list[list[tuple[str, bool]]]] = []
-        self.cell: list[str] | None = None
-        self.head = False
-
-    def _close(self) -> None:
-        if self.cell is not None and self.tables and self.tables[-1]:
-            self.tables[-1][-1].append((" ".join("".join(self.cell).split()), self.head))
-        self.cell = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self._close()
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self._close()
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables:
-            self._close()
-            if not self.tables[-1]:
-                self.tables[-1].append([])
-            self.cell, self.head = [], tag == "th"
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th", "tr", "table"):
-            self._close()
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+def _kind(pages: DataFrame, kind: str) -> DataFrame:
+    return bundle.bundle(pages).where(F.col("kind") == kind)
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """page_id, table, row and cells (header -> value) of tables with a header, two columns and three rows or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                parser = _Tables()
-                parser.feed(html or "")
-                for t, rows in enumerate(parser.tables):
-                    rows = [r for r in rows if r]
-                    if len(rows) < 4 or len(rows[0]) < 2 or not any(h for _, h in rows[0]):
-                        continue
-                    heads = [text or f"column_{k + 1}" for k, (text, _) in enumerate(rows[0])]
-                    out += [(page, t, n, {h: c for h, (c, _) in zip(heads, row, strict=False)}) for n, row in enumerate(rows[1:], 1)]
-            ids, tables, places, cells = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tables, pa.int32()), pa.array(places, pa.int32()), pa.array([list(c.items()) for c in cells], pa.map_(pa.string(), pa.string()))], ["page_id", "table", "row", "cells"])
-
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, table int, row int, cells map<string,string>")
+    parsed = F.from_json("payload", "table int, row int, cells map<string,string>")
+    return _kind(pages, "table").select("page_id", parsed.alias("t")).select("page_id", "t.*")
 
 
 def structured(pages: DataFrame) -> DataFrame:
     """page_id and payload (JSON text) of JSON-LD nodes: graphs laid out, references by @id resolved once, own keys first."""
-
-    def nodes(value, index: dict, seen: tuple = ()):
-        if isinstance(value, list):
-            return [nodes(v, index, seen) for v in value]
-        if not isinstance(value, dict):
-            return value
-        key = value.get("@id")
-        if key in index and key not in seen and index[key] is not value:
-            value = index[key] | value
-        return {k: nodes(v, index, (*seen, key)) if k != "@id" else v for k, v in value.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = [], []
-            for page, blocks in zip(batch.column("page_id").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                for block in blocks or ():
-                    try:
-                        value = json.loads(block)
-                    except ValueError:
-                        continue
-                    listed = value if isinstance(value, list) else value.get("@graph", [value]) if isinstance(value, dict) else []
-                    found = [v for v in listed if isinstance(v, dict)]
-                    index = {v["@id"]: v for v in found if isinstance(v.get("@id"), str)}
-                    for v in found:
-                        ids.append(page)
-                        out.append(json.dumps(nodes(v, index), sort_keys=True, ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["page_id", "payload"])
-
-    blocks = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
-    return pages.select("page_id", blocks.alias("blocks")).where(F.size("blocks") > 0).mapInArrow(run, "page_id long, payload string")
+    return _kind(pages, "jsonld").select("page_id", "payload")
 
 
 def open_graph(pages: DataFrame) -> DataFrame:
     """page_id and meta (property -> content) of og: and twitter: tags."""
-    pairs = F.transform(F.regexp_extract_all("html", F.lit(r'(?i)<meta[^>]*(?:property|name)="(?:og|twitter):[^"]*"[^>]*>'), 0), lambda m: F.struct(F.regexp_extract(m, r'(?i)(?:property|name)="([^"]*)"', 1).alias("k"), F.regexp_extract(m, r'(?i)content="([^"]*)"', 1).alias("v")))
-    return pages.select("page_id", F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["v"] != ""), lambda p: F.struct(p["k"], p["v"]))).alias("meta"))
+    return _kind(pages, "open_graph").select("page_id", F.from_json("payload", "map<string,string>").alias("meta"))
 
 
 def microdata(pages: DataFrame) -> DataFrame:
-    """page_id, property and value of itemprop tags: the content attribute, else the text up to the next tag."""
-    tags = F.regexp_extract_all(bare(F.col("html")), F.lit(r'(?i)<[a-z][^>]*\bitemprop="[^"]+"[^>]*>[^<]*'), 0)
-    one = pages.select("page_id", F.explode(tags).alias("tag"))
-    value = F.coalesce(F.nullif(F.regexp_extract("tag", r'(?i)\bcontent="([^"]*)"', 1), F.lit("")), X.clean_text(F.regexp_extract("tag", ">([^<]*)$", 1)))
-    return one.select("page_id", F.regexp_extract("tag", r'(?i)\bitemprop="([^"]+)"', 1).alias("property"), value.alias("value")).where("value <> ''")
+    """page_id, property and value of itemprop tags: the content attribute, else the text below."""
+    return _kind(pages, "property").select("page_id", F.from_json("payload", "property string, value string").alias("p")).select("page_id", "p.*")
 
 
 def embedded(pages: DataFrame) -> DataFrame:
-    """page_id, kind and payload (JSON text) of scripts of type application/json, and of objects that scripts assign to a
-    name of a window. An object ends where its braces balance, but for those in strings."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = json.JSONDecoder()
-        for batch in batches:
-            out = []
-            for page, kind, texts in zip(*(batch.column(c).to_pylist() for c in ("page_id", "kind", "texts")), strict=True):
-                for body in texts:
-                    try:
-                        value, _ = decoder.raw_decode(body.strip())
-                    except ValueError:
-                        continue
-                    out.append((page, kind, json.dumps(value, sort_keys=True, ensure_ascii=False)))
-            ids, kinds, payloads = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(payloads, pa.string())], ["page_id", "kind", "payload"])
-
-    script = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/json"[^>]*>(.*?)</script>'), 1)
-    state = F.regexp_extract_all("html", F.lit(r"(?is)\bwindow\.\w+\s*=\s*([{\[].*?)</script>"), 1)
-    both = F.array(F.struct(F.lit("script").alias("kind"), script.alias("texts")), F.struct(F.lit("state").alias("kind"), state.alias("texts")))
-    found = pages.select("page_id", F.inline(both)).where(F.size("texts") > 0)
-    return found.mapInArrow(run, "page_id long, kind string, payload string")
+    """page_id, kind (script or state), name and payload (JSON text) of scripts of JSON types, and of what scripts assign."""
+    return bundle.bundle(pages).where(F.col("kind").isin("script", "state")).select("page_id", "kind", "name", "payload")
