@@ -5,8 +5,8 @@ texts are read once. Words are counted by language; a word of a language stands
 that no two words share one (else keys are salted anew). 2. Words under LEAST occurrences end suffixes, and so do pairs of
 neighbours under LEAST: filters of bounded size hold the frequent ones and let a few others pass, which costs time and no
 result. Suffixes, up to MOST_WORDS words from each place, are folded where equal within a task. 3. Suffixes are routed by
-their leading words: two, or one more where a prefix has more rows than one task should hold (sizes of all prefixes of that
-depth are counted first, which counts the phrases too). 4. A task sorts pointers to its suffixes three ways by the word at the
+their leading two words, in parts of many rows; those of a pair with more than one task should hold by all words, so that
+tasks count parts of its phrases, which are summed. 4. A task sorts pointers to its suffixes three ways by the word at the
 current depth: smaller, equal, larger. The weight of the equal part is the count of the phrase; it goes on at the next word.
 Parts under LEAST are abandoned. 5. Counts are joined to the cuts of each phrase; arithmetic is by decimals.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, MOST_WORDS, TOP, NO_LANG = 100, 5, 2000, "und"
-#: Rows of one prefix that a task may sort; beyond it one more word routes.
+#: Suffixes that a task sorts, about; a pair with more is dealt by all words.
 LEAF_ROWS = 200_000
 #: Suffixes that a task holds to fold equal ones.
 FOLDED = 1_000_000
@@ -39,7 +39,6 @@ _SLICE_BITS = 1 << 18
 SLICE_BYTES = 4 << 20
 
 _TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b < 91 else b for b in range(256))
-_WORDS = [f"w{k + 1}" for k in range(MOST_WORDS)]
 
 
 # --- words -------------------------------------------------------------------------------------------------------
@@ -170,18 +169,16 @@ def _folded(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[heads], np.add.reduceat(n[order], heads) if len(heads) else n[:0]
 
 
-def _batch(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T), pa.array(n)], [*_WORDS, "n"])
-
-
 def _slices(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[_Slice]:
     for batch in batches:
         for codes, keys in zip(batch.column("codes"), batch.column("keys"), strict=True):
             yield _Slice(codes.as_py(), keys.values.to_numpy(), words)
 
 
-def suffixes(held: DataFrame, words: DataFrame, salt: int, least: int) -> DataFrame:
-    """w1 to w5 (keys, 0 behind the end) and n of suffixes of two words and more, folded within tasks."""
+def suffixes(held: DataFrame, words: DataFrame, salt: int, least: int, leaf: int = LEAF_ROWS) -> tuple[DataFrame, int]:
+    """bucket, whole and part: suffixes of two words and more, folded within tasks, dealt into buckets by their leading two
+    words; and the number of buckets. A pair of over `leaf` suffixes is dealt by all words, and its parts are not whole. A part
+    is a compressed table: five columns of keys (0 behind the end) and one of counts."""
     send = held.sparkSession.sparkContext.broadcast
     keyed = held.select(F.transform("words", lambda w: F.xxhash64(F.col("lang"), w, F.lit(salt))).alias("keys"), "codes")
     word_filter = send(bloom(words.where(F.col("n") >= least)))
@@ -191,8 +188,23 @@ def suffixes(held: DataFrame, words: DataFrame, salt: int, least: int) -> DataFr
             found, n = np.unique(x.pairs, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    frequent = common.saved(keyed.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "pairs")
-    pair_filter = send(bloom(frequent))
+    frequent = common.saved(keyed.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
+    pair_filter, large_filter = send(bloom(frequent)), send(bloom(frequent.where(F.col("n") > leaf)))
+    buckets = max(1, -(-int(frequent.agg(F.sum("n")).first()[0] or 0) // leaf))
+
+    def parts(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lead = pair_key(rows[:, 0], rows[:, 1])
+        large = passes(lead, large_filter.value)
+        every = lead
+        for k in range(2, MOST_WORDS):
+            every = pair_key(every, rows[:, k])
+        bucket = (np.where(large, every, lead) % np.uint64(buckets)).astype(np.int64) * 2 + ~large
+        order = np.argsort(bucket, kind="stable")
+        table = np.column_stack((rows.view(np.int64), n))[order]
+        heads = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+        packed = [zstandard.ZstdCompressor(level=1).compress(np.asfortranarray(t).tobytes(order="F")) for t in np.split(table, heads[1:])] if len(heads) else []
+        of = bucket[order][heads]
+        return pa.RecordBatch.from_arrays([pa.array((of >> 1).astype(np.int32)), pa.array((of & 1).astype(bool)), pa.array(packed, pa.binary())], ["bucket", "whole", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_rows = [(np.zeros((0, MOST_WORDS), np.uint64), np.zeros(0, np.int64))]
@@ -202,11 +214,11 @@ def suffixes(held: DataFrame, words: DataFrame, salt: int, least: int) -> DataFr
                 rows, n = _folded(*map(np.concatenate, zip(*open_rows, strict=True)))
                 open_rows = [(rows, n)]
                 if len(n) >= FOLDED // 2:  # too few meet again to hold them
-                    yield _batch(rows, n)
+                    yield parts(rows, n)
                     open_rows = [(rows[:0], n[:0])]
-        yield _batch(*_folded(*map(np.concatenate, zip(*open_rows, strict=True))))
+        yield parts(*_folded(*map(np.concatenate, zip(*open_rows, strict=True))))
 
-    return keyed.mapInArrow(run, f"{', '.join(f'{w} long' for w in _WORDS)}, n long")
+    return keyed.mapInArrow(run, "bucket int, whole boolean, part binary"), buckets
 
 
 # --- multikey quicksort ------------------------------------------------------------------------------------------
@@ -232,39 +244,38 @@ def frequent_parts(rows: np.ndarray, n: np.ndarray, least: int) -> list[tuple[in
     return out
 
 
-def counted_phrases(rows: DataFrame, least: int, leaf: int = LEAF_ROWS) -> DataFrame:
+def all_prefixes(rows: np.ndarray, n: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(words, weight) of every prefix: of a pair that many tasks share, no part can be abandoned here."""
+    rows, n = _folded(rows, n)
+    out = []
+    differs = np.ones(len(rows), bool)
+    for depth in range(1, MOST_WORDS + 1):
+        differs[1:] = (rows[1:, :depth] != rows[:-1, :depth]).any(axis=1)
+        heads = np.flatnonzero(differs)
+        weights = np.add.reduceat(n, heads) if len(heads) else n[:0]
+        there = rows[heads, depth - 1] != 0
+        out += [(tuple(w), a) for w, a in zip(rows[heads[there], :depth].view(np.int64).tolist(), weights[there].tolist(), strict=True)]
+    return out
+
+
+def counted_phrases(parts: DataFrame, buckets: int, least: int) -> DataFrame:
     """words (keys, two and more) and a, the count, of phrases that occur `least` times."""
 
-    def sort(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-        held = [np.column_stack([b.column(c).to_numpy() for c in (*_WORDS, "n")]) for b in batches if b.num_rows]
-        if not held:
-            return
-        table = np.concatenate(held)
-        words = table[:, :MOST_WORDS].view(np.uint64)
-        found = [f for f in frequent_parts(np.ascontiguousarray(words), table[:, MOST_WORDS], least) if f[1] > depth]
-        yield pa.RecordBatch.from_arrays([pa.array([table[p, :d] for p, d, _ in found], pa.list_(pa.int64())), pa.array([a for *_, a in found], pa.int64())], ["words", "a"])
-
-    out = None
-    for depth in range(2, MOST_WORDS + 1):
-        prefix = _WORDS[:depth]
-        sizes = common.saved(rows.where(F.col(prefix[-1]) != 0).groupBy(*prefix).agg(F.sum("n").alias("a"), F.count("*").alias("rows")).where(F.col("a") >= least), "prefixes")
-        own = sizes.select(F.array(*prefix).alias("words"), "a")
-        out = own if out is None else out.unionByName(own)
-        if depth == MOST_WORDS:
-            break
-        large = sizes.where(F.col("rows") > leaf).select(*prefix)
-        tasks = max(1, -(-int(sizes.agg(F.sum("rows")).first()[0] or 0) // leaf))
-        # nearly all prefixes of two words are frequent, as their filter says; those that are not are abandoned in the sort
-        kept = rows.where(F.col(_WORDS[depth]) != 0)
-        last = large.isEmpty()
-        small = kept if last else kept.join(large, prefix, "left_anti")
-        # a hash of the leading words as the route; Spark deals routes to tasks
-        sorted_parts = small.repartition(tasks, *prefix).mapInArrow(lambda batches, d=depth: sort(batches, d), "words array<long>, a long")
-        out = out.unionByName(sorted_parts)
-        if last:
-            break
-        rows = common.saved(kept.join(large, prefix, "left_semi"), "large")
-    return common.saved(out, "phrases")
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        for batch in batches:
+            for whole, part in zip(batch.column("whole").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                tables[whole].append(np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.int64).reshape(MOST_WORDS + 1, -1).T)
+        for whole, found in tables.items():
+            if found:
+                table = np.concatenate(found)
+                rows, n = np.ascontiguousarray(table[:, :MOST_WORDS]).view(np.uint64), np.ascontiguousarray(table[:, MOST_WORDS])
+                phrases = [(table[p, :d].tolist(), a) for p, d, a in frequent_parts(rows, n, least)] if whole else all_prefixes(rows, n)
+                phrases = [(w, a) for w, a in phrases if len(w) > 1]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in phrases], pa.list_(pa.int64())), pa.array([a for _, a in phrases], pa.int64())], ["words", "a"])
+
+    found = parts.repartition(buckets, "bucket").mapInArrow(sort, "words array<long>, a long")
+    return common.saved(found.groupBy("words").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
 
 
 # --- scores ------------------------------------------------------------------------------------------------------
@@ -276,7 +287,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang_col:
     words, salt = counted_words(held)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = common.saved(words.where(F.col("n") >= least).select("lang", "word", "n", "key"), "frequent")
-    phrases = counted_phrases(common.saved(suffixes(held, words, salt, least), "suffixes"), least, leaf)
+    phrases = counted_phrases(*suffixes(held, words, salt, least, leaf), least)
 
     # dropped: whose words lie in a longer phrase that is as frequent
     size = F.size("words")
