@@ -21,13 +21,21 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """WITH RECURSIVE p AS (SELECT user_id::VARCHAR AS host, event_id, epoch(ts)::DOUBLE AS t, CASE WHEN event_type = 'error' THEN 'blocked' WHEN event_type = 'purchase' THEN 'ok' ELSE 'failed' END AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-      s AS (SELECT host, k, t, CASE WHEN o = 'blocked' THEN 1 ELSE 0 END AS blocks, CASE WHEN o = 'blocked' THEN t ELSE 0 END AS last FROM p WHERE k = 1
-        UNION ALL SELECT p.host, p.k, p.t, CASE WHEN p.o = 'blocked' THEN CASE WHEN p.t - s.last > 3600 THEN 1 ELSE s.blocks + 1 END WHEN p.o = 'ok' THEN 0 ELSE s.blocks END, CASE WHEN p.o = 'blocked' THEN p.t ELSE s.last END FROM s JOIN p ON p.host = s.host AND p.k = s.k + 1)
-      SELECT host, blocks::BIGINT AS blocks, count(*) AS n FROM s GROUP BY 1, 2"""
+    """WITH RECURSIVE p AS (SELECT user_id::VARCHAR AS host, epoch(ts)::DOUBLE AS t, CASE WHEN event_type = 'error' THEN 'blocked' WHEN event_type = 'purchase' THEN 'ok' ELSE 'failed' END AS o FROM events),
+      q AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY t, o) AS k FROM p),
+      s AS (SELECT host, 0 AS k, 0::DOUBLE AS seen, 0::DOUBLE AS last, 0 AS blocks, 0::DOUBLE AS until, 0 AS run, 0::DOUBLE AS opened, 0::DOUBLE AS t FROM q WHERE k = 1
+        UNION ALL SELECT q.host, q.k, greatest(z.seen, q.t), CASE WHEN o = 'blocked' THEN q.t ELSE z.last END,
+          CASE WHEN o = 'blocked' THEN CASE WHEN q.t - z.last > 3600 THEN 1 ELSE z.blocks + 1 END WHEN o = 'ok' THEN 0 ELSE z.blocks END,
+          CASE WHEN o = 'blocked' AND q.t - z.last <= 3600 AND z.blocks + 1 >= 2 THEN q.t + 3600 WHEN o = 'ok' THEN 0 ELSE z.until END,
+          CASE WHEN o = 'ok' OR (o = 'failed' AND z.run + 1 >= 5) THEN 0 WHEN o = 'failed' THEN z.run + 1 ELSE z.run END,
+          CASE WHEN o = 'failed' AND z.run + 1 >= 5 THEN q.t + 300 ELSE z.opened END, q.t
+        FROM (SELECT s.host, s.k, s.seen, CASE WHEN idle THEN 0 ELSE s.last END AS last, CASE WHEN idle THEN 0 ELSE s.blocks END AS blocks, CASE WHEN idle THEN 0 ELSE s.until END AS until, CASE WHEN idle THEN 0 ELSE s.run END AS run, CASE WHEN idle THEN 0 ELSE s.opened END AS opened
+          FROM (SELECT s.*, n.t - s.seen > 86400 AS idle FROM s JOIN q n ON n.host = s.host AND n.k = s.k + 1) s) z JOIN q ON q.host = z.host AND q.k = z.k + 1)
+      SELECT host, blocks::BIGINT AS blocks, until > t AS by_browser, opened > t AS open, count(*) AS n FROM s WHERE k > 0 GROUP BY ALL"""
 )
 def stream_host_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each host stood at which count of blocks."""
+    """How often each host stood at which count of blocks, fetched by browser, or had its circuit open."""
     outcome = F.when(F.col("event_type") == "error", "blocked").when(F.col("event_type") == "purchase", "ok").otherwise("failed")
     fetches = sinks.events(spark, sf_dir, "events", _EVENTS).select(F.col("user_id").cast("string").alias("host"), "ts", outcome.alias("outcome"))
-    return sinks.drained(hosts.policies(fetches), "policies").groupBy("host", "blocks").agg(F.count("*").alias("n"))
+    found = sinks.drained(hosts.policies(fetches), "policies")
+    return found.groupBy("host", "blocks", F.col("browser_until").isNotNull().alias("by_browser"), F.col("open_until").isNotNull().alias("open")).agg(F.count("*").alias("n"))
