@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import deliveries
 from ..streaming import hosts, monitors, sinks
-from .registry import registered
+from .registry import registered, table
 
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -39,3 +40,24 @@ def stream_host_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetches = sinks.events(spark, sf_dir, "events", _EVENTS).select(F.col("user_id").cast("string").alias("host"), "ts", outcome.alias("outcome"))
     found = sinks.drained(hosts.policies(fetches), "policies")
     return found.groupBy("host", "blocks", F.col("browser_until").isNotNull().alias("by_browser"), F.col("open_until").isNotNull().alias("open")).agg(F.count("*").alias("n"))
+
+
+_NEXT = ", ".join(f"(SELECT event_id, {k} AS attempt, lead(event_type, {k}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS answer FROM events)" for k in (1, 2, 3)).replace("), (", ") UNION ALL (")
+
+
+@registered(
+    f"""WITH a AS (SELECT event_id, attempt, CASE WHEN answer IN ('error', 'view') THEN 503 WHEN answer IS NOT NULL THEN 200 END AS code FROM ({_NEXT})),
+      e AS (SELECT event_id, ts, user_id, value, CASE WHEN user_id % 9 = 0 THEN 'skipped' WHEN strlen(repeat(props, floor(value * 20)::INT)) > 10000 THEN 'failed' ELSE 'pending' END AS first FROM events WHERE event_type = 'error'),
+      t AS (SELECT e.event_id, e.ts, a.attempt, a.code, coalesce(max((coalesce(a.code, 0) = 200)::INT) OVER (PARTITION BY e.event_id ORDER BY a.attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM e JOIN a USING (event_id) WHERE first = 'pending')
+    SELECT event_id, attempt, CASE WHEN code = 200 THEN 'sent' ELSE 'failed' END AS status, ts + to_microseconds(CASE attempt WHEN 1 THEN 0 WHEN 2 THEN 250000 ELSE 750000 END) AS due_at, code, CASE WHEN code IS NULL THEN 'no answer' WHEN code <> 200 THEN 'HTTP ' || code END AS error FROM t WHERE done = 0
+    UNION ALL SELECT event_id, 0, first, ts, NULL, CASE first WHEN 'failed' THEN 'payload too large' ELSE 'no address' END FROM e WHERE first <> 'pending'"""
+)
+def delivery_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the errors' deliveries, if the user's next events answer their attempts."""
+    events = table(spark, sf_dir, "events")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    code = lambda t: F.when(t.isin("error", "view"), 503).when(t.isNotNull(), 200)
+    answers = events.select("event_id", F.array(*(F.struct(F.lit(k).alias("attempt"), code(F.lead("event_type", k).over(order)).alias("code")) for k in (1, 2, 3))).alias("a")).select("event_id", F.inline("a"))
+    url = F.when(F.col("user_id") % 9 != 0, "https://hook.example.com/")
+    errors = events.where("event_type = 'error'").select("event_id", "ts", url.alias("url"), F.repeat("props", F.floor(F.col("value") * 20).cast("int")).alias("payload"))
+    return deliveries.attempts(errors, answers)

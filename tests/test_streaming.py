@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from loomline.streaming import hosts, monitors
+from loomline.streaming import deliveries, hosts, monitors
 
 
 def test_changes_keep_state_between_batches(spark, tmp_path):
@@ -68,3 +70,33 @@ def test_idle_keys_of_changes(spark, tmp_path):
     assert sorted((r["event_id"], r["old_value"]) for r in got) == [(1, None), (2, None), (4, None), (5, None), (6, None)]
     remembered, _ = _fed(spark, tmp_path, "remembered", schema, monitors.changes, batches)
     assert sorted((r["event_id"], r["old_value"]) for r in remembered) == [(1, None), (2, None), (4, None), (6, "a")]
+
+
+def test_deliveries_are_written_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def send(url, payload):
+        with open(log / f"{payload}-{uuid.uuid4().hex}", "w"):
+            pass
+        if payload == "raises":
+            raise OSError("down")
+        return {"ok": 204, "late": 503 if len(list(log.glob("late-*"))) < 3 else 200}.get(payload, 500)
+
+    rows = [(1, "ok", "u"), (2, "late", "u"), (3, "bad", "u"), (4, "raises", "u"), (5, "ok", None), (6, "x" * 50, "u"), (1, "ok", "u")]
+    events = spark.createDataFrame([(i, "2024-01-01 00:00:00", u, p) for i, p, u in rows], "event_id long, ts string, url string, payload string").withColumn("ts", F.to_timestamp("ts"))
+    seen = []
+
+    def failing(df, batch):
+        raise ValueError("no")
+
+    write = deliveries.sink(send, str(tmp_path / "out"), {"bad": failing, "count": lambda df, batch: seen.append((batch, df.count()))}, most_bytes=40)
+    want = {(1, 1, "sent", 204), (2, 1, "failed", 503), (2, 2, "failed", 503), (2, 3, "sent", 200), *((3, k, "failed", 500) for k in (1, 2, 3)), *((4, k, "failed", None) for k in (1, 2, 3)), (5, 0, "skipped", None), (6, 0, "failed", None)}
+    for _ in range(2):
+        write(events, 0)
+        got = deliveries.deliveries(spark, str(tmp_path / "out")).collect()
+        assert {(r["event_id"], r["attempt"], r["status"], r["code"]) for r in got} == want and len(got) == len(want)
+    assert len(list(log.iterdir())) == 10 and seen == [(0, 12)]
+    assert {str(r["due_at"])[17:] for r in got if r["event_id"] == 3} == {"00", "00.250000", "00.750000"}
+    write(events.limit(0), 1)
+    assert deliveries.deliveries(spark, str(tmp_path / "out")).count() == len(want)
