@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +64,21 @@ def coverage(required: Column, declared: Column, most: int) -> Column:
     return F.when(F.size(required) == 0, most).otherwise(F.floor(most * (F.size(F.filter(required, lambda r: F.array_contains(declared, r))) / F.size(required)))).cast("long")
 
 
-def drop_record(score: Column, detail: Column, merchandise: Column, fallback: Column, supported: Column, utility: Column, job: Column) -> Column:
-    """Whether a listing's record goes: service pages, and records without support on surfaces that need it."""
-    return (
-        (utility & (~detail | (score < 10)))
-        | (~supported & ~job & detail & ~merchandise)
-        | (~supported & ~job & ~detail & ~fallback)
-        | (~supported & ~detail & (score < 10))
-        | (score < 0)
-    )
+#: When a listing's record goes: one line is enough. (points under this, flags that hold, flags that do not)
+DROPS = [
+    (0, "", ""),
+    (10, "utility", ""),
+    (10, "", "supported detail"),
+    (None, "utility", "detail"),
+    (None, "detail", "supported job merchandise"),
+    (None, "", "supported job detail fallback"),
+]
+
+
+def dropped() -> Column:
+    """Whether a record goes, by its columns score and those that DROPS names: service pages, and records without support."""
+    lines = []
+    for under, holding, lacking in DROPS:
+        tests = [F.col(f) for f in holding.split()] + [~F.col(f) for f in lacking.split()] + ([] if under is None else [F.col("score") < under])
+        lines.append(reduce(lambda x, y: x & y, tests))
+    return reduce(lambda x, y: x | y, lines)

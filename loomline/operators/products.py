@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,23 +24,29 @@ def shared_codes(rows: DataFrame, key: str, codes: Column) -> DataFrame:
     return one.join(other, (F.col("code") == F.col("_code")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+#: Queries for a product, the surest first: what has to be known, what has to be unknown, and the words. A code is the
+#: article number, else the maker's number.
+QUERY_TEMPLATES = [
+    ("gtin", "", '"{gtin}"'),
+    ("brand title site code", "", 'site:{site} "{code}"'),
+    ("brand title site", "", "site:{site} {brand} {title}"),
+    ("brand title code", "", '{brand} {title} "{code}"'),
+    ("brand title", "", "{brand} {title}"),
+    ("title code", "brand", '"{title}" "{code}"'),
+    ("title", "brand", '"{title}" buy'),
+]
+
+
 def search_queries(brand: Column, title: Column, gtin: Column, mpn: Column, site: Column) -> Column:
-    """Queries that look for a product elsewhere, the surest first, each once."""
-    some = lambda c: ~text.is_empty(c)
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    code = F.coalesce(F.when(some(gtin), gtin), F.when(some(mpn), mpn))
-    both, at_site = some(brand) & some(title), some(brand) & some(title) & some(site)
-    place = F.concat(F.lit("site:"), site)
-    made = [
-        F.when(some(gtin), quoted(gtin)),
-        F.when(at_site & some(code), F.concat_ws(" ", place, quoted(code))),
-        F.when(at_site, F.concat_ws(" ", place, brand, title)),
-        F.when(both & some(code), F.concat_ws(" ", brand, title, quoted(code))),
-        F.when(both, F.concat_ws(" ", brand, title)),
-        F.when(some(title) & ~some(brand) & some(code), F.concat_ws(" ", quoted(title), quoted(code))),
-        F.when(some(title) & ~some(brand), F.concat_ws(" ", quoted(title), F.lit("buy"))),
-    ]
-    return F.array_distinct(F.array_compact(F.array(*made)))
+    """The queries of QUERY_TEMPLATES that what is known of a product fills, each once."""
+    known = {"brand": brand, "title": title, "gtin": gtin, "site": site, "code": F.when(text.is_empty(gtin), mpn).otherwise(gtin)}
+
+    def made(needs: str, lacks: str, template: str) -> Column:
+        pieces = [known[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"({\w+})", template) if p]
+        tests = [~text.is_empty(known[n]) for n in needs.split()] + [text.is_empty(known[n]) for n in lacks.split()]
+        return F.when(reduce(lambda x, y: x & y, tests), F.concat(*pieces))
+
+    return F.array_distinct(F.array_compact(F.array(*(made(*t) for t in QUERY_TEMPLATES))))
 
 
 def mislabelled(a: Column, b: Column, least: float = 0.8) -> Column:

@@ -13,7 +13,7 @@ from ..functions import fields as V
 from ..functions import text as X
 from ..functions import url as U
 from ..sources import bundle, dom, files, html, store
-from . import listing, trees
+from . import listing, operations, trees
 
 #: In the order in which ties are settled.
 SETS = ["structured", "dom", "structured_plus_dom", "original_dom", "rendered_dom", "visual"]
@@ -89,6 +89,14 @@ def measured(records: DataFrame, urls: DataFrame) -> DataFrame:
     return r.withColumn("score", listing.record_score(F.col("title"), ~structural, detail, noise, priced, utility)).withColumn("supported", supported).withColumn("detail_like", detail).withColumn("utility", utility)
 
 
+def without_dropped(measures: DataFrame, surface: Column | None = None) -> DataFrame:
+    """Records of measured() but for those that operations.dropped() names. A record has merchandise with a price or an image,
+    a title of 12 characters or more to fall back on, and is a job's by its surface."""
+    job = F.coalesce(surface.startswith("job_"), F.lit(False)) if surface is not None else F.lit(False)
+    flagged = measures.withColumn("detail", F.col("detail_like")).withColumn("merchandise", F.col("price").isNotNull() | F.col("image").isNotNull()).withColumn("fallback", F.length("title") >= 12).withColumn("job", job)
+    return flagged.where(~operations.dropped()).drop("detail", "merchandise", "fallback", "job")
+
+
 def listing_records(pages: DataFrame, most: int = 200, **sources) -> DataFrame:
     """page_id, set_name, decision, place, title, url and price: the records of each page's best candidate set, `most` of them
     at the most, where the integrity gate lets the set pass. A page without any has no rows."""

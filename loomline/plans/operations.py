@@ -162,9 +162,8 @@ _DROPS = "l_quantity - 5 AS score, l_linenumber % 2 = 0 AS detail, l_suppkey % 3
       OR NOT supported AND NOT detail AND score < 10 OR score < 0) AS dropped FROM (SELECT {_DROPS} FROM lineitem)"""
 )
 def records_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("score", "detail", "merchandise", "fallback", "supported", "utility", "job")
     rows = table(spark, sf_dir, "lineitem").selectExpr(*_DROPS.split(", "))
-    return rows.agg(F.count("*").alias("n"), F.count_if(O.drop_record(*(F.col(c) for c in names))).alias("dropped"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(O.dropped()).alias("dropped"))
 
 
 @registered("SELECT user_id AS monitor_id, count(*) AS events, count(*) || ' change' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' found' AS title FROM events WHERE event_type = 'error' GROUP BY 1")
