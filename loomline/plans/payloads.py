@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..operators import harvest
+from ..operators import harvest, typed
 from ..sources import bundle, files, json_tree
 from .registry import registered, table
 from .urls import _HOST, _PATH
@@ -95,3 +95,23 @@ def urls_allowed_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = pages.groupBy("host").agg(F.min(F.get(F.split("path", "/"), F.lit(1))).alias("part"))
     body = F.concat(F.lit("# rules\nUser-agent: x\nUser-agent: *\nDisallow: /"), "part", F.lit("/\nAllow: /"), "part", F.lit("/*7$\nUser-agent: y\nDisallow: /\n"))
     return files.allowed(part.select("host", body.alias("body")), pages.select("url").distinct())
+
+
+#: field -> the value as JSON that a part has for it.
+_VALUES = {
+    "price": """'{"amount":"$ 1,' || (p_size + 100) || '.50"}'""", "original_price": """'"-$ ' || p_size || '"'""", "currency": """'{"priceCurrency":"eur"}'""", "brand": """'{"@type":"Brand","name":" ' || p_brand || ' "}'""", "category": """'"/c/' || p_partkey || '"'""",
+    "title": """p_name || ' &amp; more'""", "review_count": """'{"reviewCount":"' || p_size || ',000"}'""", "rating": """'{"ratingValue":4.126}'""", "availability": """CASE WHEN p_size > 25 THEN '"https://schema.org/InStock"' ELSE 'false' END""", "url": """'"p/' || p_partkey || '?q=1"'""",
+    "tags": """'["' || p_type || ', x",{"name":"X"},["y"],"' || p_brand || '"]'""", "description": """'"<p>' || p_name || '</p> <b>bold</b>"'""", "color": """'[null,{},{"label":"red"},"blue"]'""", "barcode": """'["' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') || '"]'""", "remote": """'true'""", "other": """p_size || ''""",
+}
+
+
+@registered(
+    """SELECT p_partkey, field, kind, value FROM part, LATERAL (VALUES ('price', 'price', '1' || (p_size + 100) || '.50'), ('currency', 'currency', 'EUR'), ('brand', 'name', p_brand), ('title', 'name', p_name || ' & more'), ('review_count', 'whole', (p_size * 1000)::VARCHAR), ('rating', 'rating', '4.13'),
+      ('availability', 'availability', CASE WHEN p_size > 25 THEN 'in_stock' ELSE 'out_of_stock' END), ('url', 'url', 'https://s.com/a/p/' || p_partkey || '?q=1'), ('tags', 'texts', p_type || '|x|y|' || p_brand), ('description', 'long_text', p_name || ' bold'), ('color', 'option', 'red'),
+      ('barcode', 'barcode', lpad(p_partkey::VARCHAR, 12, '0')), ('remote', 'flag', 'true'), ('other', 'text', p_size::VARCHAR)) v(field, kind, value)"""
+)
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of parts' fields, given as JSON of all shapes, by the kinds of their fields."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("field"), F.expr(sql.replace("VARCHAR", "STRING")).alias("value")) for name, sql in _VALUES.items()))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.inline(pairs))
+    return typed.coerced(rows, ["p_partkey"], F.lit("https://s.com/a/b")).select("p_partkey", "field", "kind", F.array_join("values", "|").alias("value"))

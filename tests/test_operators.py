@@ -115,3 +115,20 @@ def test_axes_noise_scripts(spark):
     assert got == [[("i", "x", "\n{1}"), ("S", "", "2")], [], []]
     rules = [("a", "p", F.lit(1)), ("", "p", F.lit(2)), (None, None, F.lit(None)), (" p ", "q", F.lit(3))]
     assert spark.range(1).select(admission.rule_values(rules)).first()[0] == {"a": "1", "p": "3", "rule_3": None}
+
+
+def test_typed_values(spark):
+    from loomline.operators import typed
+
+    given = [
+        ("price", '{"amount":"€ 1.234,50"}'), ("price", '"-5"'), ("price", '["n/a", 12.5]'), ("stock_quantity", "3.7"), ("stock_quantity", '"1,200"'), ("availability", "true"), ("availability", '"Only 3 left in stock"'), ("brand", '{"0":"x"}'),
+        ("brand", '"https://x.com/a"'), ("gender", '"Womens"'), ("url", '"javascript:x"'), ("url", '{"href":"/a"}'), ("links", '["/b","/B","c"]'), ("features", '"a, b; A"'), ("rating", '"4.25 out of 5"'), ("sku", '"draft-AB1"'), ("remote", '"maybe"'), ("any_count", '"7"'), ("note", "not json"), ("note", None), ("note", "[]"),
+    ]
+    df = spark.createDataFrame([(k, f, v) for k, (f, v) in enumerate(given)], "id int, field string, value string")
+    got = {r["id"]: (r["value"], r["values"]) for r in typed.coerced(df, ["id"], F.lit("https://s.com/x")).collect()}
+    one = lambda v: (v, [v])
+    assert got == {
+        0: one("1234.50"), 2: one("12.5"), 4: one("1200"), 5: one("in_stock"), 6: one("limited_stock"), 9: one("women"), 11: one("https://s.com/a"), 12: ("https://s.com/b", ["https://s.com/b", "https://s.com/c"]),
+        13: ("a", ["a", "b"]), 14: one("4.25"), 15: one("AB1"), 17: one("7"), 18: one("not json"),
+    }
+    assert typed.coerced(df.limit(0), ["id"]).count() == 0
