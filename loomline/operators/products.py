@@ -69,9 +69,9 @@ def valid_group(variants: Column) -> Column:
     return (F.size(variants) >= 2) & (F.size(F.array_distinct(skus)) == F.size(skus)) & (F.size(axes) == 1)
 
 
-def phrase_categories(rows: DataFrame, key: str, title: str, taxonomy: DataFrame) -> DataFrame:
-    """Each row's best category by phrases of one to five words of its title: a category's leaf, or a part of its path. Phrases
-    meet categories by an equi join; ties go to the shorter path, then by name."""
+def phrase_scores(rows: DataFrame, key: str, title: str, taxonomy: DataFrame) -> DataFrame:
+    """(key, category, path_length, score) of the categories that phrases of one to five words of a row's title name: a
+    category's leaf, or a part of its path. Phrases meet categories by an equi join."""
     words = F.filter(F.split(F.lower(F.col(title)), "[^a-z0-9]+"), lambda w: w != "")
     starts = F.sequence(F.lit(1), F.size("w"))
     spans = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(5), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
@@ -80,5 +80,9 @@ def phrase_categories(rows: DataFrame, key: str, title: str, taxonomy: DataFrame
     index = taxonomy.select("category", F.size(parts).alias("path_length"), F.posexplode(parts).alias("at", "part"))
     index = index.select("category", "path_length", "part", F.when(F.col("at") == F.col("path_length") - 1, PHRASE_LEAF).otherwise(PHRASE_PATH).alias("score"))
     met = phrases.join(index, F.col("phrase") == F.col("part"))
-    best = met.groupBy(key, "category", "path_length").agg(F.max("score").alias("score"))
-    return best.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "path_length", "category")).alias("b")).select(key, "b.category", (-F.col("b.s")).alias("score"))
+    return met.groupBy(key, "category", "path_length").agg(F.max("score").alias("score"))
+
+
+def phrase_categories(rows: DataFrame, key: str, title: str, taxonomy: DataFrame) -> DataFrame:
+    """Each row's best category by phrase_scores(); ties go to the shorter path, then by name."""
+    return phrase_scores(rows, key, title, taxonomy).groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "path_length", "category")).alias("b")).select(key, "b.category", (-F.col("b.s")).alias("score"))

@@ -14,12 +14,17 @@ def token_index(taxonomy: DataFrame) -> DataFrame:
     return t.select("category", "path_length", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
 
 
-def best_categories(rows: DataFrame, key: str, title: str, taxonomy: DataFrame, least: float = 0.42, top: int = 1) -> DataFrame:
-    """The categories of each row with the highest token overlap (shared tokens over the category's), ties to the shorter
-    path, then by name. Rows and categories meet by token, never all with all."""
+def token_scores(rows: DataFrame, key: str, title: str, taxonomy: DataFrame, least: float = 0.42) -> DataFrame:
+    """(key, category, path_length, score): token overlap (shared tokens over the category's) from `least` on. Rows and
+    categories meet by token, never all with all."""
     tokens = rows.select(key, F.explode(text.tokens(F.col(title))).alias("token"))
     shared = tokens.join(token_index(taxonomy), "token").groupBy(key, "category", "path_length", "n_tokens").agg(F.count("*").alias("shared"))
-    scored = shared.withColumn("score", F.col("shared") / F.col("n_tokens")).where(F.col("score") >= least)
+    return shared.select(key, "category", "path_length", (F.col("shared") / F.col("n_tokens")).alias("score")).where(F.col("score") >= least)
+
+
+def best_categories(rows: DataFrame, key: str, title: str, taxonomy: DataFrame, least: float = 0.42, top: int = 1) -> DataFrame:
+    """The categories of each row with the highest token_scores(), ties to the shorter path, then by name."""
+    scored = token_scores(rows, key, title, taxonomy, least)
     w = Window.partitionBy(key).orderBy(F.desc("score"), "path_length", "category")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select(key, "category", "score", "place")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as V
 from ..functions import money, text
 from ..functions import url as U
-from ..operators import export, extraction, linkage, products, variants
+from ..operators import enrichment, export, extraction, linkage, products, variants
 from ..sources import files, html
 from .linkage import TAXONOMY, _TAXONOMY
 from .registry import registered, table
@@ -16,22 +16,14 @@ from .urls import _HOST, _NETLOC
 
 
 @registered(
-    """WITH c AS (SELECT l_orderkey AS a, l_partkey // 4 AS code FROM lineitem GROUP BY ALL)
-      SELECT x.a AS a, y.a AS b, count(*) AS shared FROM c x JOIN c y ON x.code = y.code AND x.a < y.a AND y.a - x.a < 40 GROUP BY 1, 2 HAVING count(*) >= 2"""
+    """WITH c AS (SELECT DISTINCT l_orderkey AS a, l_partkey // 4 AS code FROM lineitem)
+      SELECT x.a AS a, y.a AS b, count(*) AS shared FROM c x JOIN c y ON x.code = y.code AND x.a < y.a GROUP BY 1, 2 HAVING count(*) >= 2"""
 )
 def shared_style_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring orders that share two style codes of their parts or more."""
+    """Orders that share two style codes of their parts or more. A code is that of a few parts, so that its orders are few."""
     codes = F.collect_set(F.concat(F.lit("fv"), F.expr("l_partkey div 4"))).alias("codes")
     orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(codes)
-    # codes hold for a stretch of orders, as a season's codes do
-    near = lambda step: F.transform("codes", lambda c: F.concat_ws("@", F.expr(f"(l_orderkey + {step}) div 40"), c))
-    pairs = products.shared_codes(orders, "l_orderkey", near(0)).unionByName(products.shared_codes(orders, "l_orderkey", near(20)))
-    wide = products.shared_codes(orders.withColumn("codes", F.array_distinct(F.flatten(F.transform("codes", lambda c: F.array(F.concat_ws("@", F.expr("l_orderkey div 40"), c), F.concat_ws("@", F.expr("l_orderkey div 40 + 1"), c)))))), "l_orderkey", F.col("codes"))
-    seen = pairs.select("a", "b").unionByName(wide.select("a", "b")).where("b - a < 40").distinct()
-    one = orders.select(F.col("l_orderkey").alias("_a"), F.col("codes").alias("ca"))
-    other = orders.select(F.col("l_orderkey").alias("_b"), F.col("codes").alias("cb"))
-    met = seen.join(one, F.col("a") == F.col("_a")).join(other, F.col("b") == F.col("_b"))
-    return met.select("a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("shared")).where("shared >= 2")
+    return products.shared_codes(orders, "l_orderkey", F.col("codes")).where("shared >= 2")
 
 
 _GTIN = "CASE WHEN p_partkey % 2 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 12, '0') ELSE '' END"
@@ -140,16 +132,50 @@ CONFLICTS = [("ring", "Tools"), ("gear", "Jewellery"), ("bolt", "Jewellery")]
 _VETOES = ", ".join(f"('{w}', '{b}')" for w, b in CONFLICTS)
 
 
+@registered(f"""SELECT DISTINCT p_partkey, branch FROM part JOIN (VALUES {_VETOES}) x(word, branch) ON contains(' ' || lower(p_name) || ' ', ' ' || word || ' ')""")
+def branches_ruled_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches of the taxonomy that a word of a part's title rules out."""
+    return enrichment.ruled_out(table(spark, sf_dir, "part"), "p_partkey", "p_name", spark.createDataFrame(CONFLICTS, "word string, branch string"))
+
+
+_SCORES = f"""c AS (SELECT col0 AS category, string_split(lower(col0), ' > ') AS parts, list_distinct(list_filter(regexp_split_to_array(lower(col0), '[^a-z0-9]+'), lambda t: len(t) > 1)) AS tokens FROM (VALUES {_TAXONOMY}) v),
+      phrase AS (SELECT p_partkey, category, max(CASE WHEN place = n THEN 1.3 ELSE 0.87 END)::DOUBLE AS score FROM part JOIN (SELECT category, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM c) i ON contains(' ' || lower(p_name) || ' ', ' ' || part || ' ') GROUP BY 1, 2),
+      token AS (SELECT p_partkey, category, count(*) / n AS score FROM (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS token FROM part) p JOIN (SELECT category, len(tokens) AS n, unnest(tokens) AS token FROM c) i USING (token) GROUP BY p_partkey, category, n),
+      best AS (SELECT p_partkey, category, score FROM (SELECT p_partkey, category, max(score) AS score FROM (SELECT * FROM phrase UNION ALL SELECT * FROM token WHERE score >= 0.42) GROUP BY 1, 2) s JOIN part USING (p_partkey)
+        WHERE NOT EXISTS (SELECT 1 FROM (VALUES {_VETOES}) x(word, branch) WHERE contains(' ' || lower(p_name) || ' ', ' ' || word || ' ') AND starts_with(category, branch || ' > '))
+        QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, len(string_split(category, ' > ')), category) = 1)"""
+
+
+@registered(f"WITH {_SCORES} SELECT p_partkey, category, score FROM best")
+def categories_without_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best category of each part that no word of its title rules out."""
+    tree, conflicts = spark.createDataFrame([(c,) for c in TAXONOMY], "category string"), spark.createDataFrame(CONFLICTS, "word string, branch string")
+    return enrichment.categories(table(spark, sf_dir, "part"), "p_partkey", "p_name", tree, conflicts)
+
+
+#: Our own defaults: terms of attributes' values.
+VOCABULARY = {"colour": {"red": ["red", "crimson"], "blue": ["blue", "navy"], "green": ["green"]}, "girth": {"small": ["small", "mini"], "large": ["large", "big"]}}
+
+
+def _term(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(p_name || ' ' || lower(p_type), '(^|[^a-z0-9])({'|'.join(terms)})([^a-z0-9]|$)') THEN '{value}'" for value, terms in VOCABULARY[name].items()) + " END"
+
+
 @registered(
-    f"""SELECT p_partkey, category FROM part, (SELECT col0 AS category FROM (VALUES {_TAXONOMY}) v) WHERE p_size <= 3 AND NOT EXISTS (SELECT 1 FROM (VALUES {_VETOES}) x(word, branch)
-      WHERE contains(' ' || lower(p_name) || ' ', ' ' || word || ' ') AND starts_with(category, branch || ' > '))"""
+    f"""WITH {_SCORES}, a AS (SELECT *, {_term("colour")} AS colour, {_term("girth")} AS girth FROM part)
+    SELECT p_partkey, category, score, concat_ws(',', 'colour=' || colour, 'girth=' || girth) AS attributes, concat_ws(',', CASE WHEN colour IS NULL THEN 'colour' END, CASE WHEN girth IS NULL THEN 'girth' END) AS missing,
+      CASE WHEN p_size >= 40 THEN 'XL' ELSE p_size::VARCHAR END AS size, CASE WHEN p_size >= 40 THEN 'alpha' WHEN p_retailprice < 1000 THEN 'eu' ELSE 'us' END AS size_system, 'cotton,' || lower(p_type) AS materials,
+      concat_ws(',', 'brand:' || lower(p_brand), CASE WHEN p_retailprice < 1000 THEN 'budget' END, 'colour:' || colour, 'girth:' || girth) AS tags
+    FROM a LEFT JOIN best USING (p_partkey)"""
 )
-def categories_without_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories that no word of a small part's title rules out. Both rule table and taxonomy are short lists of our own."""
-    parts = table(spark, sf_dir, "part").where("p_size <= 3").select("p_partkey", F.split(F.lower("p_name"), " ").alias("words"))
-    branches = parts.select("p_partkey", F.explode(F.array(*(F.when(F.array_contains("words", w), b) for w, b in CONFLICTS))).alias("branch")).where("branch IS NOT NULL").distinct()
-    listed = parts.select("p_partkey", F.explode(F.array(*map(F.lit, TAXONOMY))).alias("category")).withColumn("branch", F.split("category", " > ")[0])
-    return listed.join(branches, ["p_partkey", "branch"], "left_anti").select("p_partkey", "category")
+def enriched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole enrichment of each part; its description states a size, a system and materials in words."""
+    size = F.when(F.col("p_size") >= 40, "Size: XL").when(F.col("p_retailprice") < 1000, F.concat(F.lit("in EU "), "p_size")).otherwise(F.concat(F.lit("comes in size US "), "p_size"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.concat(size, F.lit(", 60% cotton and 40 % "), "p_type").alias("description"), "p_retailprice")
+    tree, conflicts = spark.createDataFrame([(c,) for c in TAXONOMY], "category string"), spark.createDataFrame(CONFLICTS, "word string, branch string")
+    done = enrichment.projection(rows, "p_partkey", tree, conflicts, VOCABULARY, [("budget", F.col("p_retailprice") < 1000)], ["and", "the"])
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return done.select("p_partkey", "category", "score", said.alias("attributes"), F.array_join("missing", ",").alias("missing"), "size", "size_system", F.array_join("materials", ",").alias("materials"), F.array_join("tags", ",").alias("tags"))
 
 
 @registered("SELECT category, sum(has_size) AS with_size, sum(has_colour) AS with_colour, count(*) AS n FROM (SELECT split_part(p_type, ' ', 1) AS category, regexp_matches(lower(p_name), '(^| )(small|large)( |$)')::INT AS has_size, regexp_matches(lower(p_name), '(^| )(red|blue|green)( |$)')::INT AS has_colour FROM part) GROUP BY 1")
@@ -170,10 +196,8 @@ def sizes_and_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes out of texts, and the system that they are told in."""
     n = F.col("p_size")
     said = F.when(n % 3 == 0, F.concat(F.lit("Size EU "), n)).when(n % 3 == 1, F.concat(F.lit("US size: "), n)).otherwise(F.lit("size xl"))
-    rows = table(spark, sf_dir, "part").select(F.lower(said).alias("t"))
-    system = F.when(F.col("t").rlike(r"\beu\b"), "eu").when(F.col("t").rlike(r"\bus\b"), "us").otherwise("alpha")
-    size = F.upper(F.regexp_extract("t", r"(?:size|eu|us)\W*(\d+(?:\.\d+)?|xxs|xs|s|m|l|xl|xxl)\b", 1))
-    return rows.groupBy(system.alias("system"), size.alias("size")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "part").select(said.alias("t"))
+    return rows.groupBy(enrichment.size_system(F.col("t")).alias("system"), enrichment.size_of(F.col("t")).alias("size")).agg(F.count("*").alias("n"))
 
 
 # --- payloads of pages -------------------------------------------------------------------------------------------
@@ -257,10 +281,17 @@ def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registered("SELECT stem, count(*) AS n FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'paint' WHEN 2 THEN 'red' ELSE 'gear' END AS stem FROM part) GROUP BY 1")
+_WORD = "regexp_extract_all(lower(text), '[a-z]{4,}')"
+
+
+@registered(
+    f"""WITH w AS (SELECT unnest({_WORD}) AS w FROM documents), c AS (SELECT w, CASE WHEN ends_with(w, 'ing') AND len(w) > 6 THEN w[:-4] WHEN ends_with(w, 'ers') AND len(w) > 6 THEN w[:-4] WHEN ends_with(w, 'er') AND len(w) > 5 THEN w[:-3] WHEN ends_with(w, 'ed') AND len(w) > 5 THEN w[:-3] END AS cut FROM w)
+    SELECT CASE WHEN cut IS NULL THEN w WHEN cut[-1] = cut[-2] THEN cut[:-2] ELSE cut END AS stem, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 20"""
+)
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_size") % 4
-    return table(spark, sf_dir, "part").groupBy(text.stem(F.when(k == 0, "running").when(k == 1, "painters").when(k == 2, "red").otherwise("geared")).alias("stem")).agg(F.count("*").alias("n"))
+    """Stems of the documents' words, those that occur twenty times."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).groupBy(text.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n")).where("n >= 20")
 
 
 @registered("SELECT p_partkey, p_size % 2 = 0 AS mismatch FROM part")
