@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..operators import harvest, typed
-from ..sources import bundle, files, json_tree
+from ..operators import harvest, page_parts, typed
+from ..sources import bundle, dom, files, json_tree
 from .registry import registered, table
 from .urls import _HOST, _PATH
 
@@ -115,3 +115,21 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(name).alias("field"), F.expr(sql.replace("VARCHAR", "STRING")).alias("value")) for name, sql in _VALUES.items()))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.inline(pairs))
     return typed.coerced(rows, ["p_partkey"], F.lit("https://s.com/a/b")).select("p_partkey", "field", "kind", F.array_join("values", "|").alias("value"))
+
+
+_SHOP = """'<nav><img src=/logo.png></nav><div class=gallery><img src="/' || p_partkey || '.jpg?w=90" width=90><img srcset="/' || p_partkey || '.jpg?w=900 900w" alt="' || p_name || '"></div><img src="/t.jpg"><time datetime="' || (2000 + p_size) || '-01-01">x</time><label for=c>Size</label><select id=c><option>Choose an option<option selected>' || p_size || '<option disabled>' || (p_size + 1) || '</select><p>' || p_name || '. ' || p_name || '. Prices are subject to change. By ' || p_brand || '.</p>'"""
+
+
+@registered(
+    """SELECT p_partkey AS page_id, part, place::INT AS place, value FROM part, LATERAL (VALUES ('image', 1, 'https://s.com/' || p_partkey || '.jpg?w=900'), ('image', 2, 'https://s.com/t.jpg'), ('date', 1, (2000 + p_size) || '-01-01'), ('size', 1, p_size || ' selected'), ('size', 2, (p_size + 1) || ' gone'), ('text', 1, p_name || '. By ' || p_brand || '.')) v(part, place, value)"""
+)
+def page_parts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images, date, options and description of products' pages."""
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_SHOP).alias("html"), F.lit("https://s.com/x").alias("page_url"))
+    tree = dom.nodes(pages)
+    images = page_parts.images(tree, pages.select("page_id", "page_url")).select("page_id", F.lit("image").alias("part"), "place", F.col("url").alias("value"))
+    dates = page_parts.publication_date(tree).select("page_id", F.lit("date").alias("part"), F.lit(1).alias("place"), F.col("date").alias("value"))
+    state = F.when(F.col("selected"), " selected").when(~F.col("available"), " gone").otherwise("")
+    options = page_parts.options(tree).select("page_id", F.col("axis").alias("part"), "place", F.concat("value", state).alias("value"))
+    texts = dom.below(tree.where("tag = 'p'"), tree).select("page_id", F.lit("text").alias("part"), F.lit(1).alias("place"), page_parts.long_text(F.col("below"), F.lit("")).alias("value"))
+    return images.unionByName(dates).unionByName(options).unionByName(texts)
