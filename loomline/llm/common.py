@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +181,28 @@ def _rolling(seed: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
+def words_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of many short byte ranges: eight bytes at a time, each mixed in before the next; long ones by XXH64."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    loads = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix(size.astype(np.uint64), seed)
+    at = np.flatnonzero(size <= _LONG)
+    for k in range(0, _LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - k, 8).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            out[at] = mix(out[at] * np.uint64(3) + (loads[starts[at] + k] & (np.uint64(2**64 - 1) >> (np.uint64(64) - left * np.uint64(8)))), seed)
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return out
+
+
+_LONG = 256
+
+
 # --- words -------------------------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

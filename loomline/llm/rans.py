@@ -75,8 +75,8 @@ class Tokens:
         """(ids of all texts, each closed by end_id; their number in each text)."""
         data, offsets = common.bytes_of(texts)
         starts, ends, docs = common.word_bounds(data, offsets)
-        check = common.Rolling(data, 15).of(starts, ends)
-        key, first, of = np.unique(common.Rolling(data, 14).of(starts, ends), return_index=True, return_inverse=True)
+        check = common.words_hashed(data, starts, ends, 15)
+        key, first, of = np.unique(common.words_hashed(data, starts, ends, 14), return_index=True, return_inverse=True)
         if (check != check[first][of]).any():  # two chunks of one hash
             ids = [[*e.ids, end_id] for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids])

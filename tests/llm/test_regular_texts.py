@@ -49,3 +49,18 @@ def test_sets_lines_and_seeds(spark):
     want = {d: [t[p : p + 400] for p in range(len(t) - 399)] for d, t in ((1, "x" + ONE[:500] + "y"), (2, "z" + OTHER[:500] + "w"))}
     shared = {s for s in want[1] + want[2] if (want[1] + want[2]).count(s) > 1}
     assert all(bool(kept[d]) == any(s in shared for s in want[d]) for d in (1, 2))
+
+
+def test_short_ranges():
+    chance = np.random.default_rng(3)
+    words = [chance.integers(97, 100, n).astype(np.uint8).tobytes() for n in chance.integers(0, 40, 3000)] + [b"a" * n for n in range(600)] + [ONE.encode(), OTHER.encode(), b"\0", b"\0\0", b"a\0"]
+    words += words[:50]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - np.array([len(w) for w in words])
+    one, two = (common.words_hashed(data, starts, ends, seed) for seed in (1, 2))
+    known = {}
+    for word, h in zip(words, one.tolist(), strict=True):
+        assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known) and not (one == two).any()
+    assert len(common.words_hashed(data[:0], starts[:0], ends[:0], 1)) == 0
