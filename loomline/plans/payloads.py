@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..operators import harvest, page_parts, typed
+from ..operators import harvest, page_parts, snapshots, typed
 from ..sources import bundle, dom, files, json_tree
 from .registry import registered, table
 from .urls import _HOST, _PATH
@@ -133,3 +133,16 @@ def page_parts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = page_parts.options(tree).select("page_id", F.col("axis").alias("part"), "place", F.concat("value", state).alias("value"))
     texts = dom.below(tree.where("tag = 'p'"), tree).select("page_id", F.lit("text").alias("part"), F.lit(1).alias("place"), page_parts.long_text(F.col("below"), F.lit("")).alias("value"))
     return images.unionByName(dates).unionByName(options).unionByName(texts)
+
+
+@registered(
+    """SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'shop' END AS brand, CASE WHEN p_size % 2 = 0 THEN lower(replace(p_brand, '#', ' ')) ELSE 'shop' END AS normalized_brand, CAST(p_retailprice AS DOUBLE) AS price, 'EUR' AS currency, 'K' || p_partkey AS sku, 'fv' || (p_partkey + 1000) AS style_code, 'https://shop.com/' || p_partkey AS url FROM part"""
+)
+def product_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' records, whose fields have different names, in one shape."""
+    key = F.col("p_partkey")
+    record = F.create_map(*(c for k, v in {
+        "name": F.col("p_name"), "vendor": F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" "), "price": F.concat(F.lit("€ "), F.format_string("%.2f", "p_retailprice")), "sku": F.concat(F.lit("K"), key), "mpn": F.concat(F.lit("FV"), key + 1000), "ean": F.lit("4006381333931"), "source_url": F.concat(F.lit("https://shop.com/"), key),
+    }.items() for c in (F.lit(k), v)))
+    s = table(spark, sf_dir, "part").select("p_partkey", snapshots.snapshot(record).alias("s"))
+    return s.select("p_partkey", *(F.col(f"s.{c}").alias(c) for c in ("title", "brand", "normalized_brand", "price", "currency", "sku", "style_code", "url")))

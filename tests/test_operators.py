@@ -132,3 +132,24 @@ def test_typed_values(spark):
         13: ("a", ["a", "b"]), 14: one("4.25"), 15: one("AB1"), 17: one("7"), 18: one("not json"),
     }
     assert typed.coerced(df.limit(0), ["id"]).count() == 0
+
+
+def test_snapshots(spark):
+    from loomline.operators import snapshots
+
+    records = [({"title": "ACME Hat", "price": "$ 1,299.50", "url": "https://x.co.uk/1", "upc": "123456789012"}, ("ACME Hat", "ACME", "acme", 1299.5, "USD", "123456789012")), ({"name": " hat ", "sale_price": "-5", "currency": "eur", "source_url": "https://www.shop.com/a"}, ("hat", "shop", "shop", None, "EUR", None)), ({}, (None, None, "", None, None, None))]
+    df = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(records)], "k int, r map<string,string>")
+    got = {r["k"]: tuple(r["s"][c] for c in ("title", "brand", "normalized_brand", "price", "currency", "gtin")) for r in df.select("k", snapshots.snapshot(F.col("r")).alias("s")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(records)}
+
+
+def test_site_shells(spark):
+    from loomline.operators import snapshots
+
+    given = [
+        ("Hat", "5", None, None, "https://s.com/p/1/p/2", "several_products"), ("Home", "5", None, None, "https://s.com/p/1", "title_noise"), (None, None, None, None, "https://s.com/p/1", "title_noise"), ("Hats", None, None, "b", "https://s.com/collections/hats", "list_url"),
+        ("Hats", "5", None, None, "https://s.com/collections/hats", None), ("My Shop", None, None, "b", "https://myshop.com/x", "site_name"), ("Hat", None, None, None, "https://s.com/x", "title_only"), ("S", "5", "i", "d" * 200, "https://s.com/c/x", None), ("Hat", None, "i", None, "https://s.com/x", None),
+    ]
+    df = spark.createDataFrame([(k, *g[:5]) for k, g in enumerate(given)], "k int, title string, price string, image_url string, description string, url string")
+    record = {c: F.col(c) for c in ("title", "price", "image_url", "description")}
+    assert {r["k"]: r["why"] for r in df.select("k", snapshots.shell_reason(record, F.col("url")).alias("why")).collect()} == {k: g[5] for k, g in enumerate(given)}
