@@ -90,11 +90,14 @@ def sitemap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT url, NOT starts_with(path, '/' || part || '/') OR ends_with(path, '7') AS allowed FROM p JOIN h USING (host)"""
 )
 def urls_allowed_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs that their own hosts' rules allow: each shuts one part of its site, but for addresses that end with a 7."""
-    pages = table(spark, sf_dir, "pages").select("url", U.hostname(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"))
-    part = pages.groupBy("host").agg(F.min(F.get(F.split("path", "/"), F.lit(1))).alias("part"))
+    """URLs that their own hosts' rules allow: each shuts one part of its site, but for addresses whose path ends with a 7.
+    Rules fit paths with their queries: the addresses are asked about without them."""
+    bare = F.regexp_extract(F.trim("url"), r"^[^?#]*", 0)
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("url", U.hostname(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"), bare.alias("bare")).distinct()
+    part = pages.groupBy("host").agg(F.min(F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(""))).alias("part"))
     body = F.concat(F.lit("# rules\nUser-agent: x\nUser-agent: *\nDisallow: /"), "part", F.lit("/\nAllow: /"), "part", F.lit("/*7$\nUser-agent: y\nDisallow: /\n"))
-    return files.allowed(part.select("host", body.alias("body")), pages.select("url").distinct())
+    judged = files.allowed(part.select("host", body.alias("body")), pages.select(F.col("bare").alias("url")).distinct())
+    return pages.join(judged.withColumnRenamed("url", "bare"), "bare").select("url", "allowed")
 
 
 #: field -> the value as JSON that a part has for it.

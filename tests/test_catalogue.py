@@ -31,3 +31,13 @@ def test_sql(spark, name):
     assert sorted(relation.columns) == columns
     places = [relation.columns.index(c) for c in columns]
     assert sorted(tuple(_plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(_plain(r[p]) for p in places) for r in relation.fetchall())
+
+
+def test_hosts_rules_fit_paths_without_queries(spark, tmp_path):
+    urls = ["http://a.com/en/817?utm_source=feed", "http://a.com/en/8?id=7", "http://a.com/en/9#7", "http://a.com/en/7", "http://a.com/zz/1", "http://b.com", "http://b.com/x/1", "http://c.com/q/1?x=/q/7"]
+    spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = dict(db.sql(catalogue.oracle_sql()["urls_allowed_by_host"]).fetchall())
+    got = [tuple(r) for r in catalogue.queries()["urls_allowed_by_host"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want.items()) and want["http://a.com/en/817?utm_source=feed"] and not want["http://a.com/en/8?id=7"]
