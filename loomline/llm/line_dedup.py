@@ -9,7 +9,9 @@ within EDITS edits, one has a segment of the other unchanged, nearly in its plac
 segment, what stands there) of its own segments, and of the pieces that could be a segment of a line up to EDITS shorter, at
 the places that the edits left over on either side allow. Lines that share a key are paired if their lengths and their
 counts of letters, or of words by hash, are close enough, first with the earliest line of the key, then, if that is not
-near, with all. A banded bit-parallel edit distance decides each pair.
+near, with all. Where over HOT_LINES lines share a key, the second round pairs those that share a deeper one instead: of two
+lines within EDITS edits, all but EDITS of 2 * EDITS + 1 even segments of one stand unchanged in the other, nearly in their
+places, so that no pair is lost. A banded bit-parallel edit distance decides each pair.
 
 Only keys and places are shuffled for all lines. The texts of lines that share a key are fetched by their hashes, which
 are broadcast up to BROADCAST_LINES of them, and met by a shuffle beyond that.
@@ -22,12 +24,16 @@ place of repeated rows are one line. Empty tables give no rows. Other columns ar
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations, product
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 EDITS, LEAST_CHARS, WORDS = 2, 20, 12
+HOT_LINES = 256
 BROADCAST_LINES = 2_000_000
 _LETTERS = "eatnrioshdlu"
 _LAST = "1" + "0" * 37
@@ -77,6 +83,37 @@ def with_keys(lines: DataFrame, edits: int) -> DataFrame:
     return split.withColumn("keys", F.when(_by_word(F.col("content")), F.expr(by_words)).otherwise(F.expr(by_characters)))
 
 
+def deep_pieces(edits: int, own: bool) -> list[tuple[int, int, tuple[tuple[int, int, int], ...]]]:
+    """(which segments are left out, how much shorter the cut line is, runs of the others: from, to, shift), of the line
+    that is cut itself with own, else of lines within edits of it. Edits lie in the segments left out; they change the
+    shift of what stands behind them."""
+    parts, out = 2 * edits + 1, set()
+    for k, gone in enumerate(combinations(range(parts), edits)):
+        bounds = (-1, *gone, parts)
+        for behind in [(0,) * edits] if own else product(range(-edits, edits + 1), repeat=edits):
+            shifts = (0, *behind)
+            if sum(abs(b - a) for a, b in zip(shifts, behind, strict=False)) <= edits:
+                out.add((k, shifts[-1], tuple((bounds[j] + 1, bounds[j + 1], shifts[j]) for j in range(edits + 1) if bounds[j] + 1 < bounds[j + 1])))
+    return sorted(out)
+
+
+def deep_keys(content: F.Column, edits: int, own: bool) -> F.Column:
+    """Keys of deep_pieces. One of a line's own keys is among the keys of each line within edits of it."""
+    parts = 2 * edits + 1
+    run = lambda a, b, shift: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(shift).alias("shift"))
+    listed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(less).alias("less"), F.array(*(run(*r) for r in runs)).alias("runs")) for k, less, runs in deep_pieces(edits, own)))
+
+    def key(line: F.Column, p: F.Column) -> F.Column:
+        n = F.size(line["units"]) - p["less"]
+        at = lambda segment: F.floor(segment * n / parts).cast("int")
+        kept = F.transform(p["runs"], lambda r: F.slice(line["units"], F.greatest(at(r["a"]) + r["shift"], F.lit(0)) + 1, at(r["b"]) - at(r["a"])))
+        return F.xxhash64(line["by_word"], n, p["k"], kept)
+
+    # a let-binding: else each key would hash the units anew
+    line = F.struct(F.transform(units(content), lambda w: F.xxhash64(w)).alias("units"), _by_word(content).alias("by_word"))
+    return F.element_at(F.transform(F.array(line), lambda x: F.transform(listed, lambda p: key(x, p))), 1)
+
+
 def _by_word(content: F.Column) -> F.Column:
     return F.octet_length(content) - F.octet_length(F.replace(content, F.lit(" "), F.lit(""))) >= WORDS - 1
 
@@ -237,7 +274,19 @@ def _near(met: DataFrame, some: DataFrame, edits: int) -> DataFrame:
     soon = common.saved(late(heads, sides), "soon")
     known = soon.select(F.col("h1").alias("_h"), F.col("first").alias("_f")).hint("merge")
     rest = sides.join(known, (F.col("h1") == F.col("_h")) & (F.col("first") == F.col("_f")), "left_anti")
-    return soon.unionByName(late(sides, rest)).select("h1", "h2").distinct()
+    hot = common.saved(met.groupBy("key").count().where(F.col("count") > HOT_LINES).select(F.col("key").alias("_k")), "hot")
+    if hot.isEmpty():
+        return soon.unionByName(late(sides, rest)).select("h1", "h2").distinct()
+    rest = common.saved(rest, "rest")
+    shared = F.col("key") == F.col("_k")
+
+    def deep(entries: DataFrame, own: bool) -> DataFrame:
+        """The lines of hot keys by their deeper keys."""
+        lines = entries.join(hot.hint("merge"), shared, "left_semi").select(*facts).distinct().join(text("x"), (F.col("h1") == F.col("_h_x")) & (F.col("first") == F.col("_f_x")))
+        return lines.select(F.explode(F.array_distinct(deep_keys(F.col("t_x"), edits, own))).alias("key"), *facts)
+
+    parts = [soon, late(sides, rest.join(hot.hint("merge"), shared, "left_anti")), late(deep(sides, True), deep(rest, False))]
+    return reduce(DataFrame.unionByName, parts).select("h1", "h2").distinct()
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,30 @@ def test_edit_distance(spark):
             assert min(row["d"], edits + 1) == min(brute.levenshtein(row["a"], row["b"]), edits + 1)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_line_dedup_of_hot_keys(spark, monkeypatch, edits):
+    """Lines that share keys with many others are met by deeper keys: no near line is lost, and far ones are not paired."""
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 1)
+    r = random.Random(edits)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 6)))
+    bases, docs = [[word() for _ in range(n)] for n in (12, 13, 40)] + [list("".join(r.choice("abc") for _ in range(n))) for n in (22, 35)], []
+    for k in range(140):
+        units = r.choice(bases)[:]
+        sign = word if units in bases[:3] else lambda: r.choice("abc")
+        glue = " " if units in bases[:3] else ""
+        for _ in range(r.randrange(0, 2 * edits + 2)):
+            at = r.randrange(len(units))
+            units[at : at + r.randrange(2)] = [sign()] * r.randrange(2)
+        docs.append((k, glue.join(units)))
+    got = {x["doc_id"]: (x["exact"], x["near"]) for x in line_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), edits=edits).collect()}
+    want = brute.lines_removed(docs, edits)
+    assert got == want and sum(1 for _, near in want.values() if near) > 20
+    words = [str(k) for k in range(40)]
+    far = [words, *([*words[:k], "x", *words[k + 1 :]] for k in (0, 39)), [*words[:14], *"xyzvuwtsrqponmlkjihgfedcba"]]
+    keys = [set(x) for (x,) in spark.createDataFrame([(" ".join(t),) for t in far], "t string").select(line_dedup.deep_keys(F.col("t"), 2, False)).collect()]
+    assert keys[0] & keys[1] and keys[1] & keys[2] and not keys[0] & keys[3]
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_dedup(spark, edits):
     r = random.Random(edits)
