@@ -25,6 +25,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from . import bpe, common
 TEXT_BYTES, BLOCK_LINKS = 1 << 20, 1 << 21
 #: Chunks that a Python worker remembers in each of two generations, and the longest of them.
 REMEMBERED, _LONGEST = 300_000, 64
+#: Tokens at the begin of a stretch that are compared one by one.
+_SHORT = 4
 #: Pairs and links in one written row, and the place of a block's first pair in the order of its rows.
 _ROW_PAIRS, _ROW_LINKS, _FIRST = 1 << 14, 1 << 15, -(1 << 40)
 
@@ -74,6 +77,8 @@ class Vocabularies:
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         #: Chunk -> ids by both; None where a text with it is not cut. Two generations.
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        #: Chunks in `known` without ids of their own.
+        self.odd: set[str] = set()
         self.old: dict[str, tuple[bytes, bytes] | None] = {}
         # an id's decimal digits with what follows: a comma within a group, a bar or semicolon at its end
         self.written = [b"%d%c" % (i, c) for tokens, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for i in range(len(tokens)) for c in (b",", last.encode())]
@@ -81,41 +86,59 @@ class Vocabularies:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of a space and each text by both, as little-endian unsigned 32-bit numbers; none where either does not give
         back the bytes."""
-        a_bytes, b_bytes, join = self.a_bytes.__getitem__, self.b_bytes.__getitem__, b"".join
         spaced = [" " + t for t in texts]
         first = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         second = self.b.encode(texts, num_threads=1)
-        whole = [join(map(a_bytes, a)) == join(map(b_bytes, b)) == t.encode() for a, b, t in zip(first, second, spaced, strict=True)]
-        return [(array("I", a).tobytes(), array("I", b).tobytes()) if w else _NONE for a, b, w in zip(first, second, whole, strict=True)]
+        sizes = np.array([len(t.encode()) for t in spaced], np.int64)
+        flat, ends, same = [], [], np.ones(len(texts), bool)
+        for ids, size in ((first, self.a_size), (second, self.b_size)):
+            flat.append(array("I", chain.from_iterable(ids)))
+            ends.append(np.append(0, np.cumsum([len(x) for x in ids], dtype=np.int64)))
+            total = np.append(0, np.cumsum(size[np.frombuffer(flat[-1], np.uint32)])) if flat[-1] else np.zeros(1, np.int64)
+            same &= np.diff(total[ends[-1]]) == sizes
+        # texts whose sizes agree are compared at once, and one by one only if these are not all equal
+        alike, join, a_bytes, b_bytes = np.flatnonzero(same).tolist(), b"".join, self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        equal = lambda some: join(map(a_bytes, chain.from_iterable(first[k] for k in some))) == join(map(b_bytes, chain.from_iterable(second[k] for k in some))) == "".join(spaced[k] for k in some).encode()
+        if not equal(alike):
+            alike = [k for k in alike if equal([k])]
+        out = [_NONE] * len(texts)
+        (a, b), (a_ends, b_ends) = (x.tobytes() for x in flat), ((4 * e).tolist() for e in ends)
+        for k in alike:
+            out[k] = (a[a_ends[k] : a_ends[k + 1]], b[b_ends[k] : b_ends[k + 1]])
+        return out
 
     def ids(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """encode(), by chunks between spaces where no other white space is beside them; texts without characters have none."""
         cut = [t.split(" ") if t and self.cuts else [""] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        known, new = self.known, []
+            self.old, self.known, self.odd = self.known, {}, set()
+        known, odd, new = self.known, self.odd, []
         for chunk in set().union(*cut).difference(known):
             if chunk in self.old:
                 known[chunk] = self.old[chunk]
+                if not known[chunk] or known[chunk] == _NONE:
+                    odd.add(chunk)
             elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 known[chunk] = None
+                odd.add(chunk)
             else:
                 new.append(chunk)
         for k in range(0, len(new), 4096):  # some at once: their encodings are large
-            known.update(zip(new[k : k + 4096], self.encode(new[k : k + 4096]), strict=True))
+            ids = self.encode(new[k : k + 4096])
+            known.update(zip(new[k : k + 4096], ids, strict=True))
+            odd.update(c for c, x in zip(new[k : k + 4096], ids, strict=True) if x == _NONE)
         out = []
         for text, chunks in zip(texts, cut, strict=True):
             both = list(map(known.__getitem__, chunks))
-            if None in both:
-                out.append(self.encode([text])[0] if text else _NONE)
-            elif _NONE in both:
-                out.append(_NONE)
+            if not odd.isdisjoint(chunks):  # one look-up each, where a search of `both` would compare pairs
+                out.append(_NONE if None not in both or not text else self.encode([text])[0])
             else:
                 a, b = zip(*both, strict=True)
                 out.append((b"".join(a), b"".join(b)))
         for chunk in new:
             if len(chunk) > _LONGEST:
                 del known[chunk]
+                odd.discard(chunk)
         return out
 
 
@@ -139,17 +162,21 @@ def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]
     n = len(a)
     while i < n:
         if a[i] == b[j]:
-            begun_a, begun_b, step = i, j, 2
+            begun_a, begun_b, near = i, j, min(i + _SHORT, n)
             i, j = i + 1, j + 1
-            while i < n and a[i : i + step] == b[j : j + step]:  # the last values are equal, so that both end together
-                i, j, step = i + step, j + step, step * 2
-            if i >= n:
-                i = n
-            else:
-                while step > 1:
-                    step >>= 1
-                    if a[i : i + step] == b[j : j + step]:
-                        i, j = i + step, j + step
+            while i < near and a[i] == b[j]:  # most stretches are short: slices cost more than they skip
+                i, j = i + 1, j + 1
+            if i == near < n:
+                step = 2
+                while i < n and a[i : i + step] == b[j : j + step]:  # the last values are equal, so that both end together
+                    i, j, step = i + step, j + step, step * 2
+                if i >= n:
+                    i = n
+                else:
+                    while step > 1:
+                        step >>= 1
+                        if a[i : i + step] == b[j : j + step]:
+                            i, j = i + step, j + step
             starts_a.append(begun_a)
             starts_b.append(begun_b)
             lengths.append(i - begun_a)

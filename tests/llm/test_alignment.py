@@ -99,3 +99,18 @@ def test_diagonals():
         assert sorted(links) == sorted({(sum(e <= x for e in a), sum(e <= x for e in b)) for x in range(total)})
         closed = [a[i + k] for i, n in zip(starts_a, lengths, strict=True) for k in range(n)] + [a[i - 1] for i, n in zip(starts_a, lengths, strict=True) if not n]
         assert sorted(closed) == sorted(set(a) & set(b))
+
+
+def test_encoding_at_once_and_remembered():
+    """Texts encoded together have the ids that each has alone, and chunks without ids are found by the set of these."""
+    files = []
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            files.append(f.read())
+    v = alignment.Vocabularies(*files)
+    texts = ["plain words", "", "ﬁ ligature", "ﬁ", "é é 　x", "a\nb \n c", "tab\tx", "😀", "\x00"]
+    together = v.encode(texts)
+    assert together == [v.encode([t])[0] for t in texts] and v.encode([]) == []
+    for _ in range(2):
+        assert v.ids(texts) == [(b"", b"") if not t else v.encode([t])[0] for t in texts]
+    assert v.odd == {c for c, x in v.known.items() if x in (None, (b"", b""))} and v.odd
