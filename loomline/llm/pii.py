@@ -2,14 +2,14 @@
 
 Rules find e-mail addresses, IP addresses, payment cards and phone numbers; what they find stays. Generators of high recall
 propose further spans, which may overlap: addresses with their signs spelt out, phone numbers without a plus, numbers in
-groups, dotted numbers. Boosted trees judge these by format and context. The trees learn from a bounded sample of
-SAMPLE_ROWS candidates of each kind (least hashes of place and text). A candidate that overlaps a span that its kind's rule
+groups, dotted numbers. Boosted trees judge these by format and context. The trees learn from all
+candidates that have a label. A candidate that overlaps a span that its kind's rule
 accepts is a positive; one that the rule can read and refuses, or that overlaps another kind's span, is a negative. Spellings
 that the rules cannot read get half the weight and the label of their plain spelling, or none if that does not decide
 (`labelled`). From each positive `views` derives spellings that the rules cannot read, as weak positives, and contrasts that
 are no such data, as weak negatives, so that both classes are there even where all candidates are right. Features are of the
 plain spelling, and the rule's own trigger (the plus, the @) is none, so that spellings without it can score alike. A fifth
-of the sample (a candidate with all its views) calibrates each kind's threshold: the least score from which PRECISION of the
+of them (a candidate with all its views) calibrates each kind's threshold: the least score from which PRECISION of the
 accepted are positives. The fitted trees become a column expression, so that scoring needs no shuffle.
 
 Regular expressions are written so that Java's engine neither recurses nor starts again within a run of characters: a
@@ -17,7 +17,7 @@ separator between two fitting characters first becomes a mark that no class else
 class. Long texts of digits or letters take linear time.
 
 Cases: null and empty texts have no spans. A text that has the mark itself is read with another character in its place.
-Repeated rows have equal results. A kind without a positive, in the sample or in its held-out fifth, adds no spans. Other
+Repeated rows have equal results. A kind without a positive, or without one in its held-out fifth, adds no spans. Other
 columns are ignored.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS, PRECISION, WEAK = 4000, 0.98, 0.5
+PRECISION, WEAK = 0.98, 0.5
 TREES, DEPTH, SEED = 8, 3, 5
 _MARK, _OTHER = "﷐", "﷑"  # not characters
 
@@ -193,26 +193,25 @@ class Judge:
 
     def __init__(self, spans: DataFrame):
         rows = labelled(spans).withColumn("h", F.xxhash64("s"))
-        parts = [rows.where(F.col("s.kind") == k).orderBy("h", "label").limit(SAMPLE_ROWS) for k in KINDS]
-        sample = common.saved(reduce(DataFrame.unionByName, parts).select("h", F.inline(views(F.col("s"), F.col("label"), F.col("weight")))).select(F.col("s.kind").alias("kind"), "label", "weight", "h", *(c.alias(n) for c, n in zip(features(F.col("s")), FEATURES, strict=True))), "sample")
+        seen = common.saved(rows.select("h", F.inline(views(F.col("s"), F.col("label"), F.col("weight")))).select(F.col("s.kind").alias("kind"), "label", "weight", "h", *(c.alias(n) for c, n in zip(features(F.col("s")), FEATURES, strict=True))), "seen")
         self.trees: dict[str, list] = {}
         self.least: dict[str, float] = {}
-        learn, check = sample.where("pmod(h, 5) <> 0"), sample.where("pmod(h, 5) = 0")
+        learn, check = seen.where("pmod(h, 5) <> 0"), seen.where("pmod(h, 5) = 0")
         classes = {r["kind"]: r for r in learn.groupBy("kind").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()}
         for kind in KINDS:
             have = classes.get(kind)
             if have is None or not 0 < have["yes"] < have["n"]:
                 continue  # nothing to tell apart: no trees, so no spans are added
             vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learn.where(F.col("kind") == kind).orderBy("h", "label", *FEATURES))
-            model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors.coalesce(1))
+            model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors)
             self.trees[kind] = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-            # about a fifth of SAMPLE_ROWS candidates, with their views
-            scored = [(r["z"], r["label"]) for r in check.where(F.col("kind") == kind).select(self._score(kind, [F.col(n) for n in FEATURES]).alias("z"), "label").orderBy(F.desc("z")).collect()]
-            yes, least = 0.0, float("inf")
-            for n, (z, label) in enumerate(scored, 1):
-                yes += label
-                if yes >= PRECISION * n and (n == len(scored) or scored[n][0] < z):
-                    least = z
+            # a row a score: few, as the trees have few leaves
+            scored = check.where(F.col("kind") == kind).groupBy(self._score(kind, [F.col(n) for n in FEATURES]).alias("z")).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).orderBy(F.desc("z")).collect()
+            yes, n, least = 0.0, 0, float("inf")
+            for r in scored:
+                yes, n = yes + r["yes"], n + r["n"]
+                if yes >= PRECISION * n:
+                    least = r["z"]
             self.least[kind] = least
 
     def _score(self, kind: str, columns: list[F.Column]) -> F.Column:

@@ -323,3 +323,20 @@ def test_classifier_chooses_among_repeated_ids(spark, monkeypatch):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, label int")
     one, other = (quality_model.fit(spark.createDataFrame(d, "doc_id long, text string").repartition(n), labels)[0] for d, n in ((docs, 2), (docs[::-1], 5)))
     assert np.array_equal(one, other)
+
+
+def test_trees_learn_from_all_candidates(spark, monkeypatch):
+    seen, saved = [], common.saved
+
+    def watched(df, name):
+        out = saved(df, name)
+        seen.extend([out.count()] if "label" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(common, "saved", watched)
+    docs = spark.range(410).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 10), k -> concat('at 10.', k, '.', id % 256, '.', id div 256, ' on')), ' ')").alias("text"))
+    spans = pii.found(docs)
+    pii.Judge(spans)
+    rows = pii.labelled(spans)
+    assert rows.where("s.kind = 'ip'").count() == 4100
+    assert seen == [rows.select(F.explode(pii.views(F.col("s"), F.col("label"), F.col("weight")))).count()]
