@@ -9,9 +9,10 @@ within EDITS edits, one has a segment of the other unchanged, nearly in its plac
 segment, what stands there) of its own segments, and of the pieces that could be a segment of a line up to EDITS shorter, at
 the places that the edits left over on either side allow. Lines that share a key are paired if their lengths and their
 counts of letters, or of words by hash, are close enough, first with the earliest line of the key, then, if that is not
-near, with all. Where over HOT_LINES lines share a key, the second round pairs those that share a deeper one instead: of two
-lines within EDITS edits, all but EDITS of 2 * EDITS + 1 even segments of one stand unchanged in the other, nearly in their
-places, so that no pair is lost. A banded bit-parallel edit distance decides each pair.
+near, with all. Where over HOT_LINES lines share a key, and over a quarter of that many are left, the second round pairs
+those that share a deeper one instead: of two lines within EDITS edits, all but EDITS of 2 * EDITS + 1 even segments of one
+stand unchanged in the other, nearly in their places, so that no pair is lost. A banded bit-parallel edit distance decides
+each pair that has more than EDITS units exchanged.
 
 Only keys and places are shuffled for all lines. The texts of lines that share a key are fetched by their hashes, which
 are broadcast up to BROADCAST_LINES of them, and met by a shuffle beyond that.
@@ -24,7 +25,6 @@ place of repeated rows are one line. Empty tables give no rows. Other columns ar
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,17 +70,20 @@ def pieces(edits: int) -> list[tuple[int, int, int]]:
 
 def with_keys(lines: DataFrame, edits: int) -> DataFrame:
     """lines with `keys`, of the words of a line if it has WORDS or more, else of its characters."""
-    # one small expression for all pieces: twelve in a row make a method that the JVM does not compile
     parts = edits + 1
-    listed = ", ".join(f"named_struct('less', {less}, 'i', {i}, 'shift', {shift})" for less, i, shift in pieces(edits))
 
-    def each(unit: str, n: str, piece: str) -> str:
-        start, end = f"p.i * ({n} - p.less) div {parts}", f"(p.i + 1) * ({n} - p.less) div {parts}"
-        return f"transform(array({listed}), p -> xxhash64('{unit}', {n} - p.less, p.i, {piece}CAST({start} + p.shift + 1 AS INT), CAST({end} - {start} AS INT))))"
+    def piece(less: int, i: int, shift: int) -> F.Column:
+        n = f"(size(words) - {less})"
+        start, end = f"{i} * {n} div {parts}", f"{i + 1} * {n} div {parts}"
+        return F.expr(f"xxhash64('words', {n}, {i}, slice(words, CAST({start} + {shift} + 1 AS INT), CAST({end} - {start} AS INT)))")
 
+    # a short line's pieces are one small lambda; with it Spark compiles this projection in small methods, where it would else
+    # put the twelve pieces by words, which are most of the work, into one that the JVM does not compile
+    listed = ", ".join(f"named_struct('less', {less}, 'i', {i}, 'shift', {shift})" for less, i, shift in pieces(edits))
+    start, end = (f"{i} * (chars - p.less) div {parts}" for i in ("p.i", "(p.i + 1)"))
+    by_characters = f"transform(array({listed}), p -> xxhash64('characters', chars - p.less, p.i, substring(content, CAST({start} + p.shift + 1 AS INT), CAST({end} - {start} AS INT))))"
     split = lines.withColumns({"words": F.transform(F.split("content", " ", -1), lambda w: F.xxhash64(w)), "chars": F.char_length("content")})
-    by_words, by_characters = each("words", "size(words)", "slice(words, "), each("characters", "chars", "substring(content, ")
-    return split.withColumn("keys", F.when(_by_word(F.col("content")), F.expr(by_words)).otherwise(F.expr(by_characters)))
+    return split.withColumn("keys", F.when(_by_word(F.col("content")), F.array(*(piece(*p) for p in pieces(edits)))).otherwise(F.expr(by_characters)))
 
 
 def deep_pieces(edits: int, own: bool) -> list[tuple[int, int, tuple[tuple[int, int, int], ...]]]:
@@ -163,6 +166,11 @@ def edit_distance(a: F.Column, b: F.Column, edits: int) -> F.Column:
     return F.element_at(bound, 1)
 
 
+def exchanged(a: F.Column, b: F.Column) -> F.Column:
+    """Places where the arrays differ, those past the end of the shorter one included: an upper bound of the edit distance."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
+
+
 def _banded(a: F.Column, b: F.Column, edits: int) -> F.Column:
     width = 2 * edits + 1
     ones = (1 << width) - 1
@@ -261,23 +269,28 @@ def _near(met: DataFrame, some: DataFrame, edits: int) -> DataFrame:
     text = lambda x: some.select(F.col("h1").alias(f"_h_{x}"), F.col("first").alias(f"_f_{x}"), F.col("h2").alias(f"h2_{x}"), F.col("content").alias(f"t_{x}")).hint("merge")
     own = lambda x: (F.col(f"h1_{x}") == F.col(f"_h_{x}")) & (F.col(f"first_{x}") == F.col(f"_f_{x}"))
 
-    def late(a: DataFrame, b: DataFrame) -> DataFrame:
-        """h1, h2 and first of the lines of b that are near an earlier one of a."""
-        pairs = side(a, "a").hint("merge").join(side(b, "b"), earlier & may)
-        pairs = pairs.select("h1_a", "first_a", "h1_b", "first_b").distinct()
-        joined = pairs.join(text("a"), own("a")).join(text("b"), own("b"))
-        close = joined.where(edit_distance(units(F.col("t_a")), units(F.col("t_b")), edits) <= edits)
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        return side(a, "a").hint("merge").join(side(b, "b"), earlier & may).select("h1_a", "first_a", "h1_b", "first_b")
+
+    def late(pairs: DataFrame) -> DataFrame:
+        """h1, h2 and first of the later lines of the pairs that are near."""
+        joined = pairs.distinct().join(text("a"), own("a")).join(text("b"), own("b"))
+        a, b = units(F.col("t_a")), units(F.col("t_b"))
+        close = joined.where((exchanged(a, b) <= edits) | (edit_distance(a, b, edits) <= edits))
         return close.select(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2"), F.col("first_b").alias("first")).distinct()
 
     # a group of near lines is linear in the first round, and few of it are left for the second
     heads = sides.groupBy("key").agg(F.min(F.struct(*facts)).alias("head")).select("key", "head.*")
-    soon = common.saved(late(heads, sides), "soon")
+    soon = common.saved(late(pairs(heads, sides)), "soon")
     known = soon.select(F.col("h1").alias("_h"), F.col("first").alias("_f")).hint("merge")
     rest = sides.join(known, (F.col("h1") == F.col("_h")) & (F.col("first") == F.col("_f")), "left_anti")
-    hot = common.saved(met.groupBy("key").count().where(F.col("count") > HOT_LINES).select(F.col("key").alias("_k")), "hot")
-    if hot.isEmpty():
-        return soon.unionByName(late(sides, rest)).select("h1", "h2").distinct()
     rest = common.saved(rest, "rest")
+    # the lines of a key with few left are paired directly: that is linear in its lines
+    left = rest.groupBy("key").count().where(F.col("count") > HOT_LINES // 4).select(F.col("key").alias("_k"))
+    hot = met.groupBy("key").count().where(F.col("count") > HOT_LINES).join(left.hint("merge"), F.col("key") == F.col("_k")).select("_k")
+    hot = common.saved(hot, "hot")
+    if hot.isEmpty():
+        return soon.unionByName(late(pairs(sides, rest))).select("h1", "h2").distinct()
     shared = F.col("key") == F.col("_k")
 
     def deep(entries: DataFrame, own: bool) -> DataFrame:
@@ -285,8 +298,8 @@ def _near(met: DataFrame, some: DataFrame, edits: int) -> DataFrame:
         lines = entries.join(hot.hint("merge"), shared, "left_semi").select(*facts).distinct().join(text("x"), (F.col("h1") == F.col("_h_x")) & (F.col("first") == F.col("_f_x")))
         return lines.select(F.explode(F.array_distinct(deep_keys(F.col("t_x"), edits, own))).alias("key"), *facts)
 
-    parts = [soon, late(sides, rest.join(hot.hint("merge"), shared, "left_anti")), late(deep(sides, True), deep(rest, False))]
-    return reduce(DataFrame.unionByName, parts).select("h1", "h2").distinct()
+    direct = pairs(sides, rest.join(hot.hint("merge"), shared, "left_anti"))
+    return soon.unionByName(late(direct.unionByName(pairs(deep(sides, True), deep(rest, False))))).select("h1", "h2").distinct()
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,26 @@ def test_line_dedup_of_hot_keys(spark, monkeypatch, edits):
     assert keys[0] & keys[1] and keys[1] & keys[2] and not keys[0] & keys[3]
 
 
+def test_hot_keys_with_few_lines_left_are_paired_directly(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("deeper keys are not needed")
+
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 40)
+    monkeypatch.setattr(line_dedup, "deep_keys", unwanted)
+    words = [f"w{k}" for k in range(20)]
+    docs = [(k, " ".join([*words[: 14 + k % 6], f"x{k}", *words[15 + k % 6 :]])) for k in range(60)]
+    got = {x["doc_id"]: (x["exact"], x["near"]) for x in line_dedup.removed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.lines_removed(docs, line_dedup.EDITS) and len(got) == 59
+
+
+def test_exchanged_units_bound_the_edits(spark):
+    r = random.Random(8)
+    pairs = [("".join(r.choice("ab") for _ in range(r.randrange(9))), "".join(r.choice("ab") for _ in range(r.randrange(9)))) for _ in range(200)]
+    units = [line_dedup.characters(F.col(c)) for c in "ab"]
+    for row in spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.exchanged(*units).alias("n")).collect():
+        assert row["n"] == sum(x != y for x, y in zip(row["a"], row["b"], strict=False)) + abs(len(row["a"]) - len(row["b"])) >= brute.levenshtein(row["a"], row["b"])
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_dedup(spark, edits):
     r = random.Random(edits)
