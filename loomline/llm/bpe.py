@@ -196,6 +196,10 @@ def pieces(content: bytes) -> list[bytes]:
     return out
 
 
+common.kept(coder.cache_clear)
+common.kept(pieces.cache_clear)
+
+
 def vocabulary(spark: SparkSession, path: str):
     """The vocabulary file as a broadcast; its size is checked (a vocabulary does not grow with the corpus)."""
     with open(path, "rb") as file:

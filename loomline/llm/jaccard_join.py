@@ -76,6 +76,7 @@ def counted(source: DataFrame, counters: int) -> np.ndarray:
     """Saturating counts of hashed shingles over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         total = np.zeros(counters, np.int64)
         for batch in common.slices(batches, "_text"):
             h, _ = sets_of(batch.column("_text"))
@@ -112,6 +113,7 @@ def sketched(source: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         heavy = shared.value
         groups: set[int] = set()
         nodes: set[int] = set()

@@ -101,6 +101,7 @@ def line_hashes(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
     """host, doc (hash of the text) and line, the hash of each distinct line of each document; line 0 is the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for batch in common.slices(batches, "_text"):
             texts = Texts(*common.bytes_of(batch.column("_text")))
             lines = texts.folded()

@@ -168,6 +168,13 @@ def test_decontamination_of_odd_rows(spark, monkeypatch, most):
     assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [5, 6, 7, 9]
 
 
+def test_workers_forget_the_vocabulary():
+    coder = bpe.coder(b"YQ== 0", r"\w+")
+    assert bpe.coder(b"YQ== 0", r"\w+") is coder
+    common.forget()
+    assert not bpe.coder.cache_info().currsize and not bpe.pieces.cache_info().currsize
+
+
 def test_edit_distance(spark):
     r, pairs = random.Random(2), []
     for _ in range(300):
