@@ -209,18 +209,27 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(content)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
-    """docs without text_col, with ids_col (binary: little-endian unsigned 32-bit ids) and count_col."""
+def _decoded(ids: list[bytes], token: list[bytes]) -> pa.Array:
+    piece = token.__getitem__
+    return pa.array([b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in ids], pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", bytes_col: str | None = None) -> DataFrame:
+    """docs without text_col, with ids_col (binary: little-endian unsigned 32-bit ids) and count_col; with bytes_col, if
+    named, as decode() gives it, from the same Python worker: decode() after encode() has a task hold two workers, which
+    Spark gives to either in turn, so that in the end all of them remember what the coder does."""
     shared = vocabulary(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c not in (text_col, ids_col, count_col)]
+    kept = [c for c in docs.columns if c not in (text_col, ids_col, count_col, bytes_col)]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType())])
+    if bytes_col:
+        schema.add(bytes_col, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = coder(shared.value, pattern)
         for batch in common.slices(batches, "_text", 2 << 20):
             ids = [known.ids(t) if t else b"" for t in batch.column("_text").to_pylist()]
-            columns = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*kept, ids_col, count_col])
+            columns = [*(batch.column(c) for c in kept), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [_decoded(ids, known.token)] * bool(bytes_col), schema.names)
 
     return docs.select(*kept, common.text_column(docs, text_col).alias("_text")).mapInArrow(run, schema)
 
@@ -232,17 +241,16 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(shared.value).__getitem__
+        token = pieces(shared.value)
         for batch in batches:
-            out = [b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, bytes_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _decoded(batch.column(ids_col).to_pylist(), token)], [*kept, bytes_col])
 
     return encoded.select(*kept).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to."""
-    both = decode(encode(docs, path, pattern), path)
+    both = encode(docs, path, pattern, bytes_col="bytes")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

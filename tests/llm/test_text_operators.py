@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -49,6 +50,16 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_holds_one_worker_a_task(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(i, t, "x", b"y") for i, t in enumerate(odd_texts())], "doc_id long, text string, n_tokens string, bytes binary").repartition(3)
+    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    once = bpe.encode(docs, path, public_tokenizers.PATTERN, bytes_col="bytes")
+    assert sorted(once.select(both.columns).collect()) == sorted(both.collect())
+    plan = bpe.digests(docs, path, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow|MapInPandas|EvalPython", plan)) == 1
+
+
 def test_rans_round_trip(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
