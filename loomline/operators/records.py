@@ -97,15 +97,19 @@ def without_dropped(measures: DataFrame, surface: Column | None = None) -> DataF
     return flagged.where(~operations.dropped()).drop("detail", "merchandise", "fallback", "job")
 
 
-def listing_records(pages: DataFrame, most: int = 200, **sources) -> DataFrame:
-    """page_id, set_name, decision, place, title, url and price: the records of each page's best candidate set, `most` of them
-    at the most, where the integrity gate lets the set pass. A page without any has no rows."""
+def listing_records(pages: DataFrame, most: int | None = None, **sources) -> DataFrame:
+    """page_id, set_name, decision, place, title, url and price: the records of each page's best candidate set, the first `most`
+    of them where a number is given, where the integrity gate lets the set pass. A page without any has no rows."""
     urls = pages.select("page_id", F.col("url").alias("page_url"))
     records = store.kept(measured(candidate_sets(pages, **sources), urls).withColumn("_order", F.array_position(F.array(*map(F.lit, SETS)), F.col("set_name"))), "candidates")
     best = listing.gate(listing.best_set(listing.set_scores(records, ["page_id", "set_name", "_order"]), "page_id", "_order"))
     passed = best.where("decision = 'product_grid'").select("page_id", "set_name", "decision")
     placed = records.join(passed, ["page_id", "set_name"]).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("place", "url")))
-    return placed.where(F.col("place") <= most).select("page_id", "set_name", "decision", "place", "title", "url", "price")
+    return _first(placed, most).select("page_id", "set_name", "decision", "place", "title", "url", "price")
+
+
+def _first(records: DataFrame, most: int | None) -> DataFrame:
+    return records if most is None else records.where(F.col("place") <= most)
 
 
 # --- dispatch ----------------------------------------------------------------------------------------------------
@@ -120,8 +124,9 @@ def route(body: Column, content_type: Column, surface: Column, blocked: Column)
     return F.when(xml, "sitemap").when(json, "json").when(content, "content").when(blocked, "blocked").when(surface.contains("listing"), "listing").otherwise("detail")
 
 
-def records(documents: DataFrame, most: int = 200) -> DataFrame:
-    """page_id, route, place, title and url of the records of documents (page_id, url, body, content_type, surface).
+def records(documents: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id, route, place, title and url of the records of documents (page_id, url, body, content_type, surface): all, or the
+    first `most` of each document where a number is given.
 
     Each document goes one way: the pages a sitemap names; the records of a JSON body; a content page's main text, where it
     has a title or text; nothing of a blocked page; the records of a listing; of any other page its product, or its title."""
@@ -147,4 +152,4 @@ def records(documents: DataFrame, most: int = 200) -> DataFrame:
     every = out[0]
     for one in out[1:]:
         every = every.unionByName(one)
-    return every.where(F.col("place") <= most)
+    return _first(every, most)

@@ -66,3 +66,13 @@ def test_dispatch(spark):
         ("a", "sitemap", 1, None), ("a", "sitemap", 2, None), ("b", "json", 1, "J"), ("c", "content", 1, "Heading"),
         *(("e", "listing", k, f"Product number {k}") for k in range(1, 5)), ("f", "detail", 1, "Named"), ("g", "detail", 1, "Only head"),
     ]
+
+
+def test_no_record_is_cut_unless_asked(spark):
+    locs = "".join(f"<url><loc>https://s.com/{k}</loc></url>" for k in range(250))
+    cards = "".join(f'<div class="card"><a href="/p/item-{k}"></a><h3>Product number {k}</h3></div>' for k in range(250))
+    turns = json.dumps({"items": [{"title": f"T{k}", "url": f"u{k}"} for k in range(250)]})
+    documents = [("s", "https://s.com/m", f"<urlset>{locs}</urlset>", None, "x"), ("l", "https://s.com/e", page(cards), "text/html", "ecommerce_listing"), ("j", "https://s.com/j", turns, "application/json", "x")]
+    df = spark.createDataFrame(documents, "page_id string, url string, body string, content_type string, surface string")
+    assert rows(records.records(df).groupBy("page_id").count(), "page_id", "count") == [("j", 250), ("l", 250), ("s", 250)]
+    assert rows(records.records(df, most=3).groupBy("page_id").count(), "page_id", "count") == [("j", 3), ("l", 3), ("s", 3)]
