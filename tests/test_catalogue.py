@@ -41,3 +41,18 @@ def test_hosts_rules_fit_paths_without_queries(spark, tmp_path):
     want = dict(db.sql(catalogue.oracle_sql()["urls_allowed_by_host"]).fetchall())
     got = [tuple(r) for r in catalogue.queries()["urls_allowed_by_host"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want.items()) and want["http://a.com/en/817?utm_source=feed"] and not want["http://a.com/en/8?id=7"]
+
+
+CUT = "Fish &amp; chips &amp;&"
+
+
+@pytest.mark.parametrize("name", ["main_text"])
+def test_references_cut_short(spark, tmp_path, name):
+    pages = [(k, f"https://s.com/{k}", f'<html lang="en"><head><meta charset="utf-8"><title>{CUT}{cut}</title></head><body><div class="ad">x &middot{cut}</div><article><h1>{CUT}{cut}</h1><p>Of {CUT}{cut}</p></article></body></html>') for k, cut in enumerate(["amp", "am", "a", "quo", "copy", "amp;", "#39", "lt"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    columns = ", ".join(sorted(df.columns))
+    want = db.sql(f"SELECT {columns} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(_plain(v) for v in r) for r in df.selectExpr(*columns.split(", ")).collect()) == sorted(tuple(_plain(v) for v in r) for r in want) and len(want) >= len(pages)

@@ -148,6 +148,12 @@ def test_intervals():
     assert max(r["depth"] for r in tree_of("<i>" * 5000 + "x")) <= dom.DEEPEST + 1
 
 
+def test_references_end_with_a_semicolon():
+    rows = tree_of("<p title='a&amp;b&amp' data-u='?a=1&timestamp=2&copy=3'>a &amp;lt; &lt;i&gt; &copy &copy; &notit; &#65;&#x42; &#67 &am &amp</p><script>a&&b&amp;&c</script>t &quo")
+    assert [(r["tag"], r["text"]) for r in rows if r["tag"] != "#text"] == [("p", "a &lt; <i> &copy © &notit; AB &#67 &am &amp"), ("script", "a&&b&amp;&c"), ("html", "t &quo")]
+    assert dict(rows[0]["attrs"]) == {"title": "a&b&amp", "data-u": "?a=1&timestamp=2&copy=3"}
+
+
 def test_cards(spark):
     tree = dom.nodes(spark.createDataFrame([(1, SHOP), (2, "<div><p>a<p>b</div>")], "page_id long, html string"))
     got = [tuple(r) for r in trees.cards(tree).where("signature LIKE 'div%'").select("page_id", "place", "signature", "title", "href").orderBy("page_id", "place").collect()]
