@@ -46,7 +46,7 @@ def test_hosts_rules_fit_paths_without_queries(spark, tmp_path):
 CUT = "Fish &amp; chips &amp;&"
 
 
-@pytest.mark.parametrize("name", ["main_text", "main_text_unnamed", "page_markdown"])
+@pytest.mark.parametrize("name", ["main_text", "main_text_unnamed", "page_markdown", "selector_values"])
 def test_references_cut_short(spark, tmp_path, name):
     pages = [(k, f"https://s.com/{k}", f'<html lang="en"><head><meta charset="utf-8"><title>{CUT}{cut}</title></head><body><div class="ad">x &middot{cut}</div><article><h1>{CUT}{cut}</h1><p>Of {CUT}{cut}</p></article></body></html>') for k, cut in enumerate(["amp", "am", "a", "quo", "copy", "amp;", "#39", "lt"])]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
