@@ -7,21 +7,37 @@ from functools import reduce
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import store
 
 # Scores of categories met by a whole leaf, by a phrase of the path, and by all words of a leaf.
 PHRASE_LEAF, PHRASE_PATH, LEAF_TOKENS = 1.3, 0.87, 0.84
 
 
-def shared_codes(rows: DataFrame, key: str, codes: Column) -> DataFrame:
-    """Pairs (a, b) of rows that share a code, with how many; each code meets its like by an equi join. A code of everything
-    says nothing of identity: callers pass codes that few rows share."""
-    one = rows.select(F.col(key).alias("a"), F.explode(F.array_distinct(codes)).alias("code")).where("code <> ''")
-    other = one.select(F.col("a").alias("b"), F.col("code").alias("_code"))
-    return one.join(other, (F.col("code") == F.col("_code")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("shared"))
+def shared_codes(rows: DataFrame, key: str, codes: Column, least: int = 1) -> DataFrame:
+    """Pairs (a, b) of rows that share `least` codes or more, with how many; null and empty codes are none.
+
+    One code is enough to meet by where one is asked for: callers then pass codes that few rows share, as a code of everything
+    says nothing of identity. From two on rows meet by pairs of their codes, so that those who meet are all in the result: pairs
+    that one row alone has are dropped before any join, and m shared codes are met by m * (m - 1) / 2 times. A row's pairs grow
+    with the square of its codes."""
+    kept = F.array_sort(F.array_distinct(F.filter(codes, lambda c: c.isNotNull() & (c.cast("string") != ""))))
+    own = rows.select(F.col(key).alias("a"), kept.alias("_codes"))
+    met = F.col("n")
+    if least < 2:
+        one = own.select("a", F.explode("_codes").alias("_x"))
+        on = ["_x"]
+    else:
+        first = own.select("a", "_codes", F.posexplode("_codes").alias("_i", "_x"))
+        pairs = first.select("a", "_x", F.explode(F.slice("_codes", F.col("_i") + 2, F.size("_codes"))).alias("_y"))
+        on = ["_x", "_y"]
+        one = store.kept(pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*on))).where("_n > 1").drop("_n"), "shared")
+        met = ((F.sqrt(8 * F.col("n") + 1) + 1) / 2).cast("long")
+    both = one.join(one.withColumnRenamed("a", "b"), on).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return both.select("a", "b", met.alias("shared")).where(F.col("shared") >= least)
 
 
 #: Queries for a product, the surest first: what has to be known, what has to be unknown, and the words. A code is the

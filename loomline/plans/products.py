@@ -20,10 +20,10 @@ from .urls import _HOST, _NETLOC
       SELECT x.a AS a, y.a AS b, count(*) AS shared FROM c x JOIN c y ON x.code = y.code AND x.a < y.a GROUP BY 1, 2 HAVING count(*) >= 2"""
 )
 def shared_style_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that share two style codes of their parts or more. A code is that of a few parts, so that its orders are few."""
-    codes = F.collect_set(F.concat(F.lit("fv"), F.expr("l_partkey div 4"))).alias("codes")
-    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(codes)
-    return products.shared_codes(orders, "l_orderkey", F.col("codes")).where("shared >= 2")
+    """Orders that share two style codes of their parts or more. A code is that of a few parts."""
+    # the lines travel as two numbers, not as sets of one code each
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr("l_partkey div 4").alias("code")).repartition("l_orderkey")
+    return products.shared_codes(lines.groupBy("l_orderkey").agg(F.collect_set("code").alias("codes")), "l_orderkey", F.col("codes"), least=2)
 
 
 _GTIN = "CASE WHEN p_partkey % 2 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 12, '0') ELSE '' END"

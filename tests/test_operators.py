@@ -153,3 +153,21 @@ def test_site_shells(spark):
     df = spark.createDataFrame([(k, *g[:5]) for k, g in enumerate(given)], "k int, title string, price string, image_url string, description string, url string")
     record = {c: F.col(c) for c in ("title", "price", "image_url", "description")}
     assert {r["k"]: r["why"] for r in df.select("k", snapshots.shell_reason(record, F.col("url")).alias("why")).collect()} == {k: g[5] for k, g in enumerate(given)}
+
+
+def test_shared_codes(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from loomline.operators import products
+
+    given = [(k, [None, "", "all", "all", f"p{k // 2}", f"q{k % 7}"][: 3 + k % 4] + [f"r{k // 3}"] * (k % 5 > 1)) for k in range(60)] + [(60, None), (61, [])]
+    df = spark.createDataFrame(given, "k int, codes array<string>")
+    sets = {k: {c for c in codes or [] if c} for k, codes in given}
+    want = Counter({(x, y): len(sets[x] & sets[y]) for x, y in combinations(sets, 2)})
+    for least in (1, 2, 3):
+        got = {(r["a"], r["b"]): r["shared"] for r in products.shared_codes(df, "k", F.col("codes"), least).collect()}
+        assert got == {pair: n for pair, n in want.items() if n >= least} and got
+    # a code of everything makes no pairs of rows where two codes are asked for
+    hot = spark.range(30_000).select("id", F.array(F.lit(-1).cast("long"), F.expr("id div 2")).alias("codes"))
+    assert products.shared_codes(hot, "id", F.col("codes"), 2).agg(F.count("*"), F.min("shared"), F.max(F.col("b") - F.col("a"))).first()[:] == (15_000, 2, 1)
