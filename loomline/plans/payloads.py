@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import url as U
 from ..operators import harvest, page_parts, snapshots, typed
 from ..sources import bundle, dom, files, json_tree
-from .registry import registered, table
+from .registry import dealt, registered, table
 from .urls import _HOST, _PATH
 
 _TREE = """SELECT {keep}, replace(fullkey, '"', '') AS path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' ELSE lower(type) END AS kind, atom AS value
@@ -69,7 +69,7 @@ _WHOLE = """'<head><meta content="' || p_name || '" property=og:title><script ty
 )
 def source_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything structured in a page, by one parse."""
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_WHOLE).alias("html"))
+    pages = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(_WHOLE).alias("html"))
     return bundle.bundle(pages).select("page_id", "kind", "name", "payload")
 
 

@@ -101,3 +101,21 @@ def test_robots_groups_and_patterns(spark):
 def test_first_of_equal_records(spark):
     bodies = spark.createDataFrame([("u", '[{"title":"a","url":"1","price":"5"},{"title":"a","url":"1","price":"6"},{"title":"a","url":"2"}]')], "url string, body string")
     assert {(r["url"], r["price"]) for r in files.json_records(bodies, ["url", "title", "price"]).collect()} == {("1", "5"), ("2", None)}
+
+
+def test_small_pages_share_batches():
+    import pyarrow as pa
+
+    from loomline.sources import dom
+
+    htmls = pa.array(["<p>a", None, "", "<p>b<p>c"] * 2000 + ["x" * dom.BATCH_CHARS, "<p>d"])
+    got = list(dom.in_batches(htmls, lambda html: [r["tag"] for r in dom._Parser().page(html)]))
+    assert len(got) == 3 and [p for places, _ in got for p in places][:6] == [0, 0, 3, 3, 3, 3] and sum(len(rows) for _, rows in got) == 4 * 2000 + 2 * 2000 + 4
+    assert all(len(places) == len(rows) for places, rows in got)
+
+
+def test_few_bytes_with_much_work_are_dealt_out(spark):
+    from loomline.plans import catalogue
+
+    # one file of parts is read by one task; its pages are parsed by as many as a shuffle has
+    assert catalogue.queries()["source_bundles"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
