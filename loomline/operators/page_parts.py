@@ -42,8 +42,11 @@ def images(tree: DataFrame, urls: DataFrame, most: int = 12, unlinked: bool = Fa
     +4 in a gallery, +2 with a text for it, +2 from 400 pixels on, -2 under 100, -1 within a link; images in the page's frame
     or with a mark of it, and those that count visits, are left out. unlinked leaves out those in links. urls: id_col, page_url."""
     frame = F.col("tag").isin("header", "footer", "nav", "aside") | _hinted(CHROME_HINTS)
-    seen = tree.withColumn("_frame", dom.inside(frame, id_col) | _hinted(CHROME_HINTS)).withColumn("_gallery", dom.inside(_hinted(GALLERY_HINTS), id_col) | _hinted(GALLERY_HINTS)).withColumn("_linked", dom.inside((F.col("tag") == "a") & (_attr("href") != ""), id_col))
-    found = seen.where(F.col("tag").isin("img", "source") & ~F.col("_frame") & ~(F.lit(unlinked) & F.col("_linked"))).join(urls, id_col)
+    link, image = (F.col("tag") == "a") & (_attr("href") != ""), F.col("tag").isin("img", "source")
+    # what speaks for or against an image, and the images: other nodes need not be put in order
+    telling = tree.where(image | link | frame | _hinted(GALLERY_HINTS))
+    seen = telling.withColumn("_frame", dom.inside(frame, id_col) | _hinted(CHROME_HINTS)).withColumn("_gallery", dom.inside(_hinted(GALLERY_HINTS), id_col) | _hinted(GALLERY_HINTS)).withColumn("_linked", dom.inside(link, id_col))
+    found = seen.where(image & ~F.col("_frame") & ~(F.lit(unlinked) & F.col("_linked"))).join(urls, id_col)
     sets = V.srcset(F.coalesce(F.nullif(_attr("srcset"), F.lit("")), _attr("data-srcset")))
     plain = F.filter(F.array(*map(_attr, IMAGE_ATTRIBUTES)), lambda u: u != "")
     width = F.coalesce(_attr("width").try_cast("int"), F.lit(0))
@@ -108,7 +111,7 @@ def options(tree: DataFrame, id_col: str = "page_id") -> DataFrame:
     named = picks.join(labels, [id_col, "_for"], "left").select(id_col, F.col("_at").alias("pre"), F.when(F.col("_said"), F.col("_name")).otherwise(F.coalesce("_label", "_name")).alias("_axis"), "_to")
     # the select that an option stands in is the last that began before it and has not ended
     up = F.last("_s", ignorenulls=True).over(dom.in_order(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = tree.join(named, [id_col, "pre"], "left").withColumn("_s", F.when(F.col("_axis").isNotNull(), F.struct("_axis", "_to"))).withColumn("_in", up)
+    met = tree.where(F.col("tag").isin("select", "option")).join(named, [id_col, "pre"], "left").withColumn("_s", F.when(F.col("_axis").isNotNull(), F.struct("_axis", "_to"))).withColumn("_in", up)
     chosen = dom.below(met.where((F.col("tag") == "option") & (F.col("pre") <= F.col("_in._to"))), tree, id_col, "_text").select(id_col, "pre", F.col("_in._axis").alias("_axis"), F.coalesce(F.nullif(X.clean_text(F.col("_text")), F.lit("")), own("value")).alias("value"), "attrs")
     radios = tree.where((F.col("tag") == "input") & (F.lower(_attr("type")) == "radio") & (_attr("name") != "")).select(id_col, "pre", _attr("name").alias("_axis"), own("id").alias("_for"), F.coalesce(own("aria-label"), own("data-value"), own("value")).alias("_own"), "attrs")
     radios = radios.join(labels, [id_col, "_for"], "left").select(id_col, "pre", "_axis", F.coalesce("_label", "_own").alias("value"), "attrs")

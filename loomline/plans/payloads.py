@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..operators import harvest, page_parts, snapshots, typed
-from ..sources import bundle, dom, files, json_tree
+from ..sources import bundle, dom, files, json_tree, store
 from .registry import dealt, registered, table
 from .urls import _HOST, _PATH
 
@@ -128,8 +128,9 @@ _SHOP = """'<nav><img src=/logo.png></nav><div class=gallery><img src="/' || p_p
 )
 def page_parts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images, date, options and description of products' pages."""
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_SHOP).alias("html"), F.lit("https://s.com/x").alias("page_url"))
-    tree = dom.nodes(pages)
+    pages = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(_SHOP).alias("html"), F.lit("https://s.com/x").alias("page_url"))
+    # each part reads the tree, none its pieces of text
+    tree = store.kept(dom.nodes(pages, columns=["pre", "last", "tag", "attrs", "start", "end", "flow"]).where("tag <> '#text'"), "elements")
     images = page_parts.images(tree, pages.select("page_id", "page_url")).select("page_id", F.lit("image").alias("part"), "place", F.col("url").alias("value"))
     dates = page_parts.publication_date(tree).select("page_id", F.lit("date").alias("part"), F.lit(1).alias("place"), F.col("date").alias("value"))
     state = F.when(F.col("selected"), " selected").when(~F.col("available"), " gone").otherwise("")

@@ -51,3 +51,10 @@ def test_long_texts(spark):
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(given)], "k int, text string, title string")
     got = {r["k"]: r["t"] for r in df.select("k", page_parts.long_text(F.col("text"), F.col("title")).alias("t")).collect()}
     assert got == {k: want for k, (*_, want) in enumerate(given)}
+
+
+def test_page_parts_parse_once(spark):
+    from loomline.plans import catalogue
+
+    found = catalogue.queries()["page_parts_found"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
